@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, repetition, textkit
+from . import decontaminate, packing, repetition, substrings, textkit
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,10 +43,11 @@ where coalesce(covered, 0) <= greatest({free}, {part} * len(w)) and coalesce(lon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op5_substrings": op5_substrings,
     "op8_packing": op8_packing,
     "op10_repetition": op10_repetition,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
+    return {"op5_substrings": substrings.spans_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
