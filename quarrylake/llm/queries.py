@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, repetition, substrings, textkit
+from . import decontaminate, ngramjoin, packing, repetition, substrings, textkit
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,10 +48,11 @@ where coalesce(covered, 0) <= greatest({free}, {part} * len(w)) and coalesce(lon
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op5_substrings": op5_substrings,
+    "op6_ngram_join": op6_ngram_join,
     "op8_packing": op8_packing,
     "op10_repetition": op10_repetition,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substrings": substrings.spans_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
+    return {"op5_substrings": substrings.spans_sql(), "op6_ngram_join": ngramjoin.pairs_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
