@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngramjoin, packing, repetition, substrings, textkit
+from . import decontaminate, lines, ngramjoin, packing, repetition, substrings, textkit
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ where coalesce(covered, 0) <= greatest({free}, {part} * len(w)) and coalesce(lon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_lines": op3_lines,
     "op5_substrings": op5_substrings,
     "op6_ngram_join": op6_ngram_join,
     "op8_packing": op8_packing,
