@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, ngramjoin, packing, repetition, substrings, textkit
+from . import decontaminate, lines, ngramjoin, packing, repetition, substrings, textkit, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.written_and_read(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ where coalesce(covered, 0) <= greatest({free}, {part} * len(w)) and coalesce(lon
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
     "op3_lines": op3_lines,
     "op5_substrings": op5_substrings,
@@ -60,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substrings": substrings.spans_sql(), "op6_ngram_join": ngramjoin.pairs_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
+    return {"op1_warc": "select page_id, url, html from pages", "op5_substrings": substrings.spans_sql(), "op6_ngram_join": ngramjoin.pairs_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
