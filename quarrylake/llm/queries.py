@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, ngramjoin, packing, repetition, substrings, textkit, warc
+from . import decontaminate, lines, ngramjoin, packing, pii, repetition, substrings, textkit, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.identifiers(table(spark, sf_dir, "documents"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
     "op3_lines": op3_lines,
+    "op4_pii": op4_pii,
     "op5_substrings": op5_substrings,
     "op6_ngram_join": op6_ngram_join,
     "op8_packing": op8_packing,
