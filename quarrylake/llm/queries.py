@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, ngramjoin, packing, pii, repetition, substrings, textkit, warc
+from . import decontaminate, lines, ngramjoin, packing, pii, quality, repetition, substrings, textkit, toxicity, warc
 from .common import table
 
 
@@ -34,10 +34,18 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.good_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_substrings": op5_substrings,
     "op6_ngram_join": op6_ngram_join,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_repetition": op10_repetition,
 }
 
