@@ -107,7 +107,7 @@ def topk_cosine(vectors: DataFrame, id: str, vector: str, k: int = 5, dims: int
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).astype("<f8")
-        return pa.table({"b": [key[0].as_py()], "ids": [t.column("id").to_numpy().astype("<i8").tobytes()], "m": [x.tobytes()]})
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "ids": [t.column("id").to_numpy().astype("<i8").tobytes()], "m": [x.tobytes()]})
 
     packed = slim.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("b").applyInArrow(pack, "b int, ids binary, m binary")
 
