@@ -12,13 +12,15 @@ from ..operators import domains as D
 from ..operators import measures as M
 from ..operators import sketches as S
 from . import lake as L
+from .store import stored
 
 BINS = 20
 TOP = 10
 
 
-def set_scores(domains: DataFrame) -> DataFrame:
-    return M.jaccard(domains)
+def slice_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value frequencies of all slices, written once: every measure begins with them."""
+    return stored(D.value_freq(L.slice_cells(spark, sf_dir)), "freq")
 
 
 def class_domains(spark: SparkSession, sf_dir: str, domains: DataFrame) -> DataFrame:
@@ -47,11 +49,11 @@ def mean_vectors(embedded: DataFrame) -> DataFrame:
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of all column pairs of the slices: qt, qc, ct, cc, measure, score."""
-    cells = L.slice_cells(spark, sf_dir)
-    dom = D.domains(cells)
-    sets, sems = M.jaccard(dom), M.jaccard(class_domains(spark, sf_dir, dom))
-    nls = M.mean_cosine(mean_vectors(embedded_values(spark, sf_dir, D.value_freq(cells))))
-    return M.all_measures(sets, sems, nls)
+    freq = slice_freq(spark, sf_dir)
+    dom = freq.select("t", "c", "v")
+    sets, sems = M.jaccard(dom), M.jaccard(stored(class_domains(spark, sf_dir, dom), "classes"))
+    nls = M.mean_cosine(stored(mean_vectors(embedded_values(spark, sf_dir, freq)), "means"))
+    return stored(M.all_measures(sets, sems, nls), "measures")
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def top_tables(spark: SparkSession, sf_dir: str, n: int = TOP) -> DataFrame:
 
 def lsh_tables(domains: DataFrame, threshold: float = 0.5, n: int = TOP, hashes: int = S.HASHES) -> DataFrame:
     """The same by sketches alone, for a lake of any size: candidates by a band join, scored by estimated Jaccard, aligned and ranked."""
-    sketch = S.signatures(domains, hashes)
+    sketch = stored(S.signatures(domains, hashes), "signatures")
     k, l = S.optimal_bands(threshold, hashes)
     pairs = S.candidates(sketch, k, l)
     q, c = (sketch.select(F.col("t").alias(f"{s}t"), F.col("c").alias(f"{s}c"), F.col("sig").alias(f"{s}s")) for s in ("q", "c"))

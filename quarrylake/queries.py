@@ -21,6 +21,7 @@ from .operators import webtables as W
 from .plans import lake as L
 from .plans import search as P
 from .plans import sql as Q
+from .plans.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,11 +44,11 @@ def r6(c: Column | str) -> Column:
 
 
 def slice_domains(s: SparkSession, d: str) -> DataFrame:
-    return D.domains(L.slice_cells(s, d))
+    return P.slice_freq(s, d).select("t", "c", "v")
 
 
 def matches(s: SparkSession, d: str, dom: DataFrame) -> DataFrame:
-    return O.find_entities(dom.select("v").distinct(), O.inverted_index(L.types(s, d)))
+    return stored(O.find_entities(dom.select("v").distinct(), O.inverted_index(L.types(s, d))), "matches")
 
 
 # Domains
@@ -174,7 +175,7 @@ def minhash_signature(s, d):
 
 @register("minhash_jaccard", f"select a.t qt, a.c qc, b.t ct, b.c cc, round(len(list_filter(range(1, {HASHES + 1}), lambda i: a.sig[i] = b.sig[i])) / {HASHES}::double, 6) score from sig a join sig b on a.t <> b.t", sig=_signature("sdom"))
 def minhash_jaccard(s, d):
-    k = signatures(s, d)
+    k = stored(signatures(s, d), "signatures")
     return M.sided(k.withColumnRenamed("sig", "x").drop("card"), "q").join(M.sided(k.withColumnRenamed("sig", "y").drop("card"), "c"), F.col("qt") != F.col("ct")).select(*M.PAIR, r6(S.estimated_jaccard(F.col("x"), F.col("y"))).alias("score"))
 
 
@@ -184,7 +185,7 @@ _BANDS = f"select t, c, j band, sig[{_K} * j + 1:{_K} * j + {_K}] h from sig, un
 
 @register("lsh_candidates", "select distinct a.t qt, a.c qc, b.t ct, b.c cc from bands a join bands b on a.band = b.band and a.h = b.h and a.t <> b.t", sig=_signature("sdom"), bands=_BANDS)
 def lsh_candidates(s, d):
-    return S.candidates(signatures(s, d), _K, _L)
+    return S.candidates(stored(signatures(s, d), "signatures"), _K, _L)
 
 
 @register(
@@ -193,7 +194,7 @@ def lsh_candidates(s, d):
     sig=_signature("sdom"), bands=_BANDS,
 )
 def lsh_forest_depth(s, d):
-    return S.forest_depths(signatures(s, d), _K, _L)
+    return S.forest_depths(stored(signatures(s, d), "signatures"), _K, _L)
 
 
 @register("novelty_filter", "select j.qt, j.qc, j.ct, j.cc from jac j anti join (select a.t qt, a.c qc, b.t ct, b.c cc from bands a join bands b on a.band = b.band and a.h = b.h and a.t <> b.t) l using (qt, qc, ct, cc)", sig=_signature("sdom"), bands=_BANDS)
@@ -268,19 +269,19 @@ def simhash_buckets(s, d):
 
 @register("value_embedding", "select v, i, round(x, 5) x from vcomp")
 def value_embedding(s, d):
-    e = P.embedded_values(s, d, D.value_freq(L.slice_cells(s, d)))
+    e = P.embedded_values(s, d, P.slice_freq(s, d))
     return e.select("v", "i", F.round("x", 5).alias("x")).distinct()
 
 
 @register("domain_embedding", "select t, c, i, round(mean, 5) mean from vmean")
 def domain_embedding(s, d):
-    m = P.mean_vectors(P.embedded_values(s, d, D.value_freq(L.slice_cells(s, d))))
+    m = P.mean_vectors(P.embedded_values(s, d, P.slice_freq(s, d)))
     return m.select("t", "c", F.posexplode("mean").alias("i", "mean")).select("t", "c", F.col("i").cast("bigint").alias("i"), F.round("mean", 5).alias("mean"))
 
 
 @register("nl_unionability", "select * from nl")
 def nl_unionability(s, d):
-    return M.mean_cosine(P.mean_vectors(P.embedded_values(s, d, D.value_freq(L.slice_cells(s, d)))))
+    return M.mean_cosine(P.mean_vectors(P.embedded_values(s, d, P.slice_freq(s, d))))
 
 
 @register("pca_components")
@@ -513,7 +514,7 @@ def header_edit_distance(s, d):
 
 
 def freq(s, d):
-    return D.value_freq(L.slice_cells(s, d))
+    return P.slice_freq(s, d)
 
 
 @register("idf", "select v, df, round(idf, 6) idf from idf")
