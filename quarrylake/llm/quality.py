@@ -39,7 +39,7 @@ PASSAGE = 64
 BAG = 64
 CODE = 16
 GATE = 8
-SAMPLE = 1500
+SAMPLE = (1500, 1500)
 EPOCHS = 40
 LOST = 0.005
 SEED = 11
@@ -197,7 +197,7 @@ def judge(m: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     return n, score, top
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most: tuple[int, int] = SAMPLE) -> DataFrame:
     """doc_id, n_passages, score and top_passage of the documents that are kept."""
     model = train(*sample(docs, labels, id, text, label, most))
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -8,9 +8,9 @@ windows of a text are scored, ``STRIDE`` words apart, so that they overlap and
 cover every word. A document is as toxic as its most toxic window. The activations
 are softsigns, x / (1 + |x|), which cost a sixth of the exponential ones.
 
-The network is trained in numpy on at most ``SAMPLE`` labelled documents of each
-class (the least by a hash of the id) with at most ``TRAIN_WINDOWS`` windows of
-each. Labels are of documents, so a toxic document's windows are weighed by their
+The network is trained in numpy on at most ``SAMPLE`` labelled documents that are
+not toxic and that are (the least by a hash of the id) with at most
+``TRAIN_WINDOWS`` windows of each. Labels are of documents, so a toxic document's windows are weighed by their
 own scores: those that look toxic learn to be so. A fifth of the sample is held
 out, and the threshold is chosen on it.
 
@@ -42,9 +42,9 @@ HIDDEN = 8
 WIDTH = 8
 WORDS = 1 << 16
 TRIGRAMS = 1 << 14
-SAMPLE = 1000
+SAMPLE = (3000, 1000)
 TRAIN_WINDOWS = 32
-EPOCHS = 8
+EPOCHS = 5
 MIN_DOCS = 3
 BATCH = 2048
 SEED = 7
@@ -305,20 +305,21 @@ def doc_scores(net: Net, w: K.Words, threshold: float = 2.0) -> tuple[np.ndarray
     return best, np.bincount(row, minlength=rows), hits
 
 
-def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most so many labelled documents of each class."""
+def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: tuple[int, int]) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most so many labelled documents of each class: those without the label first."""
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).cast("bigint").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("label"))
     own = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     order = F.xxhash64(F.col("doc_id"))
     # the bound holds for what is sent to the driver; ids without a document don't count, if but half of the labelled have one
-    picked = [known.filter(F.col("label") > 0 if c else F.col("label") <= 0).orderBy(order, "doc_id").limit(2 * most) for c in (0, 1)]
+    picked = [known.filter(F.col("label") > 0 if c else F.col("label") <= 0).orderBy(order, "doc_id").limit(2 * most[c]) for c in (0, 1)]
     got = own.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").filter("text is not null").select("doc_id", "label", "text")
     t = got.toPandas().drop_duplicates("doc_id")
-    t = t.assign(h=K.mix(t.doc_id.to_numpy(np.int64).view(np.uint64).copy())).sort_values("h").groupby(t.label > 0).head(most)
+    t = t.assign(h=K.mix(t.doc_id.to_numpy(np.int64).view(np.uint64).copy())).sort_values("h")
+    t = t[t.groupby(t.label > 0).cumcount() < np.where(t.label > 0, most[1], most[0])]
     return t.text.tolist(), (t.label.to_numpy() > 0).astype(np.int64)
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> DataFrame:
+def toxic_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: tuple[int, int] = SAMPLE) -> DataFrame:
     """doc_id, n_windows, toxic_windows and score of the documents that reach the threshold."""
     net = train(*sample(docs, labels, id, text, label, most))
     held = docs.sparkSession.sparkContext.broadcast(net)
