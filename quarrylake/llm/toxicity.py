@@ -225,11 +225,16 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     row, start, size = row[some], start[some], size[some]
     vocab = Vocabulary.of(w)
     # words and trigrams of fewer documents would only be remembered
-    pairs = np.unique(w.row * len(vocab.bucket) + vocab.at) % max(1, len(vocab.bucket))
-    rare = np.bincount(pairs, minlength=len(vocab.bucket)) < MIN_DOCS
-    which, j = K.spread(np.diff(vocab.ptr)[pairs])
-    tri_docs = np.unique(np.repeat(np.unique(w.row * len(vocab.bucket) + vocab.at) // max(1, len(vocab.bucket)), np.diff(vocab.ptr)[pairs]) * TRIGRAMS + vocab.tri[vocab.ptr[pairs][which] + j]) % TRIGRAMS
-    rare_tri = np.bincount(tri_docs, minlength=TRIGRAMS) < MIN_DOCS
+    n_words = max(1, len(vocab.bucket))
+    doc_of, word_of = np.divmod(np.unique(w.row * n_words + vocab.at), n_words)
+    rare = np.bincount(word_of, minlength=len(vocab.bucket)) < MIN_DOCS
+    tri_docs = np.zeros(TRIGRAMS, np.int64)
+    for lo in range(0, len(texts), 100):  # a hundred documents at a time, for memory
+        a, b = np.searchsorted(doc_of, (lo, lo + 100))
+        which, j = K.spread(np.diff(vocab.ptr)[word_of[a:b]])
+        seen = np.unique(doc_of[a:b][which] * TRIGRAMS + vocab.tri[vocab.ptr[word_of[a:b]][which] + j])
+        tri_docs += np.bincount(seen % TRIGRAMS, minlength=TRIGRAMS)
+    rare_tri = tri_docs < MIN_DOCS
     held_out = rng.random(len(texts)) < 0.2
     if len(np.unique(toxic[held_out])) < 2 or len(np.unique(toxic[~held_out])) < 2:
         held_out[:] = False
