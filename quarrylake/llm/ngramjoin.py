@@ -1,8 +1,7 @@
 """N-gram Jaccard join: which documents share at least half of their word trigrams.
 
 A document is the set of its word ``GRAM``-grams. Documents with equal sets are
-collapsed first; each is paired with the least id of them, which stands for all.
-Documents that share one of their ``BOTTOM`` least gram hashes meet in a tile;
+collapsed first, and the least id of them stands for all. Documents that share one of their ``BOTTOM`` least gram hashes meet in a tile;
 a pair of similarity J shares one with a probability of at least
 1 - (1 - J) ** BOTTOM (0.996 at J = 0.5), the only approximate step. Inside a tile
 documents are sorted by size, and each meets only the band of sizes that can
@@ -13,9 +12,13 @@ exact intersection of the arrays of hashes. A pair counts in the tile of its lea
 common bottom hash only, so it is verified once, and an array travels once for each
 tile where its document has a pair left.
 
-Result: doc_a < doc_b, overlap (shared grams), jaccard. Pairs among documents with
-equal sets follow from their pairs with the least id, and pairs of the others with
-them from those of that id.
+Result of ``all_pairs``: doc_a < doc_b, overlap (shared grams), jaccard. What was
+collapsed is expanded again: the documents of a set are paired with one another,
+and those of two similar sets each with each. They travel in blocks of ``BLOCK``
+ids, and pairs of blocks are dealt out to all tasks, so a set with many documents
+is not the work of one. ``similar_pairs``, which is enough to find groups, has the
+collapsed form: of equal sets only the pairs with the least id, and pairs of the
+least ids for all others.
 
 Defined cases: a text with fewer than ``GRAM`` words, but one at least, is one
 gram; a null or empty text matches nothing, not even another; rows with a null id
@@ -42,6 +45,7 @@ GRAM = 3
 THRESHOLD = 0.5
 BOTTOM = 8
 MAX_LOCAL = 1 << 21
+BLOCK = 1024
 PAIRS = 1 << 20
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -138,6 +142,11 @@ def bottom_hashes(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.where(at < ptr[1:, None], sets[np.minimum(at, max(0, len(sets) - 1))] if len(sets) else ALL, ALL)
 
 
+def fingerprints(sets: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of every set."""
+    return [np.diff(np.r_[np.uint64(0), np.cumsum(K.mix(sets ^ np.uint64(s)))][ptr]).view(np.int64) for s in (3, 5)]
+
+
 def blobs(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     """One binary value for each slice of a flat array of eight-byte numbers."""
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype("<i4").tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
@@ -158,21 +167,20 @@ def sketches(slim: DataFrame) -> DataFrame:
             if not len(keep):
                 continue
             flat, at = bitmaps(sets, ptr)
-            sums = [np.diff(np.r_[np.uint64(0), np.cumsum(K.mix(sets ^ np.uint64(s)))][ptr]).view(np.int64) for s in (3, 5)]
+            sums = fingerprints(sets, ptr)
             bottom = bottom_hashes(sets, ptr)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ptr)), pa.array(sums[0]), pa.array(sums[1]), blobs(bottom.ravel(), np.arange(len(ptr)) * BOTTOM), blobs(flat, at)], names=["doc_id", "size", "f", "g", "bottom", "bits"]).take(pa.array(keep))
 
     return slim.filter("doc_id is not null").mapInArrow(run, "doc_id bigint, size bigint, f bigint, g bigint, bottom binary, bits binary")
 
 
-def similar_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """doc_a, doc_b, overlap and jaccard of the pairs that reach the threshold; see above for copies."""
+def similar_sets(docs: DataFrame, id: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, size, f, g and head of all documents; and the pairs of similar sets: doc_a, doc_b (documents that have them), overlap, either, and f, g and size of both (fa, ga, na, fb, gb, nb)."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = stored(sketches(slim), "sketches")
     first = F.min("doc_id").over(Window.partitionBy("f", "g", "size"))
     heads = stored(sketch.select("doc_id", "size", "f", "g").withColumn("head", first).distinct(), "heads")
-    copies = heads.filter("doc_id <> head").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.col("size").alias("either"))
     alone = sketch.join(heads.filter("doc_id = head").select("doc_id", "f", "g", "size"), ["doc_id", "f", "g", "size"], "left_semi").select("doc_id", "size", "bottom", "bits")
     buckets = parts(spark)
 
@@ -229,6 +237,7 @@ def similar_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", least
     def verified(t: pa.Table) -> pa.Table:
         sets, ptr = unblob(t.column("grams"))
         ids, size = t.column("doc_id").to_numpy(), np.diff(ptr)
+        f, g = fingerprints(sets, ptr)
         out: list[tuple[np.ndarray, ...]] = []
         _, number = np.unique(sets, return_inverse=True)
         mark = np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
@@ -246,16 +255,58 @@ def similar_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", least
                     both = np.bincount(which[mark[number[ptr[others][which] + k]]], minlength=len(others))
                     either = size[a[lo]] + size[others] - both
                     ok = both >= least * either - 1e-9
-                    out.append((np.full(int(ok.sum()), ids[a[lo]]), ids[others[ok]], both[ok], either[ok]))
+                    out.append((np.full(int(ok.sum()), a[lo]), others[ok], both[ok], either[ok]))
                 mark[mine] = False
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        x, y = np.minimum(cols[0], cols[1]), np.maximum(cols[0], cols[1])
-        return pa.table({"doc_a": x, "doc_b": y, "overlap": cols[2].astype(np.int64), "either": cols[3].astype(np.int64)})
+        x, y = (c.astype(np.int64) for c in cols[:2])
+        x, y = np.where(ids[x] > ids[y], y, x), np.where(ids[x] > ids[y], x, y)
+        of = lambda n, z: {f"doc_{n}": ids[z], f"f{n}": f[z], f"g{n}": g[z], f"n{n}": size[z]}
+        return pa.table(of("a", x) | of("b", y) | {"overlap": cols[2].astype(np.int64), "either": cols[3].astype(np.int64)})
+
+    kind = ", ".join(f"{c} bigint" for c in ("doc_a", "fa", "ga", "na", "doc_b", "fb", "gb", "nb", "overlap", "either"))
+    return heads, slim.mapInArrow(arrays, "bucket int, tile bigint, doc_id bigint, grams binary").groupBy("bucket").applyInArrow(verified, kind)
+
 
-    kind = "doc_a bigint, doc_b bigint, overlap bigint, either bigint"
-    pairs = slim.mapInArrow(arrays, "bucket int, tile bigint, doc_id bigint, grams binary").groupBy("bucket").applyInArrow(verified, kind).filter("doc_a <> doc_b")
-    best = copies.unionAll(pairs).groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("overlap", "either"), F.col("overlap") / F.col("either")).alias("x"))
-    return best.select("doc_a", "doc_b", "x.overlap", F.round(F.col("x.overlap") / F.col("x.either"), 6).alias("jaccard"))
+def best(pairs: DataFrame) -> DataFrame:
+    """Every pair once, with the overlap of its highest similarity."""
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("overlap", "either"), F.col("overlap") / F.col("either")).alias("x")).select("doc_a", "doc_b", "x.*")
+
+
+def reported(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc_a", "doc_b", "overlap", F.round(F.col("overlap") / F.col("either"), 6).alias("jaccard"))
+
+
+def similar_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """doc_a, doc_b, overlap and jaccard of the pairs that reach the threshold, in the collapsed form; see above."""
+    heads, pairs = similar_sets(docs, id, text, least)
+    copies = heads.filter("doc_id <> head").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.col("size").alias("either"))
+    return reported(best(copies.unionAll(pairs.filter("doc_a <> doc_b").select(*copies.columns))))
+
+
+def all_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """doc_a, doc_b, overlap and jaccard of all pairs that reach the threshold."""
+    heads, pairs = similar_sets(docs, id, text, least)
+    of = ["f", "g", "size"]
+    # an id that stands for several sets may have a pair more than once
+    several = F.count("*").over(Window.partitionBy("doc_id")) > 1
+    place = F.row_number().over(Window.partitionBy(*of).orderBy("doc_id"))
+    members = heads.withColumn("several", several).withColumn("block", F.floor((place - 1) / BLOCK))
+    blocks = stored(members.groupBy(*of, "block").agg(F.collect_list("doc_id").alias("ids"), F.max("several").alias("several")), "blocks")
+    side = lambda n, *more: blocks.select(F.col("f").alias(f"f{n}"), F.col("g").alias(f"g{n}"), F.col("size").alias(f"n{n}"), F.col("ids").alias(f"ids_{n}"), F.col("several").alias(f"several_{n}"), *more)
+    a, b = side("a", F.col("block").alias("block_a")), side("b", F.col("block").alias("block_b"))
+    columns = ["ids_a", "ids_b", F.expr("several_a or several_b").alias("several"), "overlap", "either"]
+    same = a.join(b, (F.col("fa") == F.col("fb")) & (F.col("ga") == F.col("gb")) & (F.col("na") == F.col("nb")) & (F.col("block_a") <= F.col("block_b")))
+    same = same.filter("block_a < block_b or size(ids_a) > 1").withColumns({"overlap": F.col("na"), "either": F.col("na")}).select(*columns, (F.col("block_a") == F.col("block_b")).alias("own"))
+    # rows that share an id and have the same text give the same pair of sets
+    sets = pairs.filter("fa <> fb or ga <> gb or na <> nb").select("fa", "ga", "na", "fb", "gb", "nb", "overlap", "either").distinct()
+    other = sets.join(a, ["fa", "ga", "na"]).join(b, ["fb", "gb", "nb"]).select(*columns, F.lit(False).alias("own"))
+    dealt = stored(same.unionAll(other).repartition(parts(docs.sparkSession)), "block-pairs")
+
+    def expanded(some: DataFrame) -> DataFrame:
+        each = some.withColumn("x", F.explode("ids_a")).withColumn("y", F.explode("ids_b")).filter("x < y or (x > y and not own)")
+        return each.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", "either")
+
+    return reported(expanded(dealt.filter("not several")).unionAll(best(expanded(dealt.filter("several")))))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, IsNull, Not, StringStartsWith
 
-from quarrylake.llm import decontaminate, lines, ngramjoin, packing, pii, quality, repetition, substrings, toxicity, warc
+from quarrylake.llm import decontaminate, lines, ngramjoin, packing, pii, quality, queries, repetition, substrings, toxicity, warc
 from quarrylake.llm import textkit as K
 
 from . import brute
@@ -343,6 +343,27 @@ def test_join_against_plain(spark, monkeypatch, local):
     assert len(set(kept) ^ set(brute.one_of_each(docs))) <= 1
 
 
+@pytest.mark.parametrize("block", [ngramjoin.BLOCK, 2])
+def test_join_pairs_copies_each_with_each(spark, monkeypatch, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    r = random.Random(21)
+    text = prose(r, 40)
+    near = text.rsplit(" ", 1)[0] + " other"
+    docs = [*((d, text) for d in range(0, 10, 2)), *((d, near) for d in (1, 5, 11)), *((20 + d, prose(r, 40)) for d in range(5)), (30, None)]
+    got = [(x.doc_a, x.doc_b) for x in ngramjoin.all_pairs(frame(spark, docs)).collect()]
+    assert len(got) == 8 * 7 // 2 and set(got) == brute.similar(docs)
+    # ids that stand for two sets, and repeated rows
+    got = [(x.doc_a, x.doc_b, x.jaccard) for x in ngramjoin.all_pairs(frame(spark, [(1, text), (1, near), (2, near), (2, near), (3, text)])).collect()]
+    assert sorted(got) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, round(37 / 39, 6))]
+
+
+def test_join_over_all_documents_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = brute.similar([tuple(x) for x in docs.collect()])
+    got = [(x.doc_a, x.doc_b) for x in queries.op6_ngram_join(spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want)
+
+
 # 7 and 9: the models
 
 
