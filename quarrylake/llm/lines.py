@@ -1,22 +1,24 @@
 """Line dedup: a segment-partition edit join over the lines of all documents.
 
-A line (``\\n`` ends it) of ``MIN_BYTES`` bytes or more goes if an earlier line is
-within ``EDITS`` byte edits. Lines are ordered by doc_id, then by the hash of the
+A line (``\\n`` ends it) that is not blank goes if an earlier line is within the
+byte edits that the shorter of the two allows: one for each ``BYTES_AN_EDIT`` bytes,
+``EDITS`` at most, so lines of fewer bytes go for an equal line only (two edits make
+any short word of any other). Lines are ordered by doc_id, then by the hash of the
 text (for rows that share an id), then by their number. Precisely: equal lines
 form a content, which is as early as its first line. If an earlier content is
-within EDITS, all lines of the later content go, and the earliest such content is
+within these edits, all lines of the later content go, and the earliest such content is
 named as the original; else all but its first line go.
 
-The join: a content of length l is cut into EDITS + 1 even segments. Two lines
-within EDITS share a segment, at places that the lengths bound; so each content
+The join: a content is cut into one more even segments than it allows edits. Two lines
+within them share a segment, at places that the lengths bound; so each content
 puts its segments into an index by length and segment, and probes the indexes of
-the lengths l - EDITS to l with the few substrings that a match can leave in
+its own length l and of the lengths below it that its edits reach with the few substrings that a match can leave in
 place. Keys travel packed, with a content's hash; only contents that meet another
 one send their text, once for each key they meet at, and are verified by the
 banded bit-parallel edit distance. Nothing is capped.
 
-Defined cases: null and empty texts have no lines that count; lines below
-MIN_BYTES always stay; null ids come last; rows with the same id and text are one
+Defined cases: null and empty texts have no lines that count; blank lines below
+MIN_BYTES bytes always stay, longer ones are lines like others; null ids come last; rows with the same id and text are one
 document, so their lines stay or go alike; further columns go through untouched;
 an empty table gives an empty result. A document all of whose lines went, but for
 blank ones, goes as well; one that was blank before stays.
@@ -37,6 +39,7 @@ from .substrings import split
 
 MIN_BYTES = 20
 EDITS = 2
+BYTES_AN_EDIT = 10
 MAX_LOCAL = 1 << 21
 HELD = 16 << 20
 CELLS = 1 << 22
@@ -56,9 +59,20 @@ def lines(texts: pa.Array) -> K.Words:
     return K.Words(data, offsets, starts, ends, ptr)
 
 
-def cut(length: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the k-th of EDITS + 1 even segments; the last ones are the longer ones."""
-    n = EDITS + 1
+def allowed(length: np.ndarray) -> np.ndarray:
+    """The edits that are allowed between a line of this length and one as long or longer."""
+    return np.minimum(EDITS, length // BYTES_AN_EDIT)
+
+
+def judged(w: K.Words) -> np.ndarray:
+    """The lines that count."""
+    inked = np.r_[0, np.cumsum(~np.isin(w.data[:-8], np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8)))]
+    return np.flatnonzero((w.ends - w.starts >= MIN_BYTES) | (inked[w.ends] > inked[w.starts]))
+
+
+def cut(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the k-th of edits + 1 even segments; the last ones are the longer ones."""
+    n = edits + 1
     base, longer = length // n, length % n
     start = k * base + np.maximum(0, k - (n - longer))
     return start, base + (k >= n - longer)
@@ -71,18 +85,20 @@ def key(span: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
 def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Lines (as places in starts), their keys, and whether these are index keys or probes."""
     length = ends - starts
-    for k in range(EDITS + 1):
-        at, size = cut(length, k)
-        yield np.arange(len(starts)), key(K.hash_spans(data, starts + at, starts + at + size), length, k), True
-        for gap in range(EDITS + 1):
-            other = length - gap
-            at, size = cut(other, k)
-            lo, hi = max(-k, gap - (EDITS - k)), min(k, gap + (EDITS - k))
-            for shift in range(lo, hi + 1):
-                if gap == 0 and shift == 0:
-                    continue  # the same as the index key, by which index members meet each other
-                ok = np.flatnonzero((at + shift >= 0) & (at + shift + size <= length) & (other >= MIN_BYTES))
-                yield ok, key(K.hash_spans(data, (starts + at + shift)[ok], (starts + at + shift + size)[ok]), other[ok], k), False
+    for edits in range(1, EDITS + 1):
+        for k in range(edits + 1):
+            own = np.flatnonzero(allowed(length) == edits)
+            at, size = cut(length[own], k, edits)
+            yield own, key(K.hash_spans(data, starts[own] + at, starts[own] + at + size), length[own], k), True
+            for gap in range(edits + 1):
+                other = length - gap
+                at, size = cut(other, k, edits)
+                lo, hi = max(-k, gap - (edits - k)), min(k, gap + (edits - k))
+                for shift in range(lo, hi + 1):
+                    if gap == 0 and shift == 0:
+                        continue  # the same as the index key, by which index members meet each other
+                    ok = np.flatnonzero((allowed(other) == edits) & (at + shift >= 0) & (at + shift + size <= length))
+                    yield ok, key(K.hash_spans(data, (starts + at + shift)[ok], (starts + at + shift + size)[ok]), other[ok], k), False
 
 
 def within(data: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -150,7 +166,7 @@ def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, target=4 * K.CHUNK):
             w = lines(b.column("text"))
-            at = np.flatnonzero(w.ends - w.starts >= MIN_BYTES)
+            at = np.flatnonzero(allowed(w.ends - w.starts) > 0)
             h, first = np.unique(K.hash_spans(w.data, w.starts[at], w.ends[at]), return_index=True)
             at = at[first]
             if not len(at):
@@ -190,7 +206,7 @@ def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
             w = lines(b.column("text"))
-            at = np.flatnonzero(w.ends - w.starts >= MIN_BYTES)
+            at = np.flatnonzero(allowed(w.ends - w.starts) > 0)
             h = K.hash_spans(w.data, w.starts[at], w.ends[at])
             if held:
                 lo, hi = np.searchsorted(held.value[0], h), np.searchsorted(held.value[0], h, "right")
@@ -242,7 +258,7 @@ def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
             for at in range(0, len(a), 1 << 16):
                 x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
                 d = within(data, (s[x], e[x]), (s[y], e[y]))
-                ok = d <= EDITS
+                ok = d <= allowed((e - s)[y])
                 x, y, d = x[ok], y[ok], d[ok]
                 later = order[x] > order[y]
                 found.append((np.where(later, x, y), np.where(later, y, x), d))
@@ -275,7 +291,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
         for b in K.chunks(batches):
             w = lines(b.column("text"))
-            at = np.flatnonzero(w.ends - w.starts >= MIN_BYTES)
+            at = judged(w)
             row = w.row[at]
             ids, fp = b.column("doc_id").fill_null(LAST).to_numpy(), b.column("fp").to_numpy()
             kept.append((K.hash_spans(w.data, w.starts[at], w.ends[at]), ids[row], fp[row], at - w.ptr[row]))

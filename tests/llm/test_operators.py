@@ -204,6 +204,35 @@ def test_lines_against_plain(spark):
     assert sorted(left) == sorted(brute.without_lines(docs))
 
 
+def plain_short_lines(docs):
+    """As brute.repeated_lines, for lines of every length."""
+    places = {}
+    for d, t in docs:
+        for n, line in enumerate(t.split("\n")):
+            if line.strip():
+                places.setdefault(line.encode(), []).append((d, n))
+    order, out = sorted(places, key=lambda x: places[x][0]), set()
+    for k, b in enumerate(order):
+        most = lambda a: min(2, len(a) // 10, len(b) // 10)  # noqa: E731, B023
+        near = next(((a, e) for a in order[:k] if abs(len(a) - len(b)) <= most(a) and (e := brute.edits(a, b)) <= most(a)), None)
+        out |= {(*p, *places[near[0]][0], near[1]) for p in places[b]} if near else {(*p, *places[b][0], 0) for p in places[b][1:]}
+    return out
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_short_lines_against_plain(spark, monkeypatch, local):
+    if not local:
+        monkeypatch.setattr(lines, "MAX_LOCAL", 0)
+    r = random.Random(22)
+    pool = ["".join(r.choice("abcdé ") for _ in range(n)) for n in (*range(0, 24), 9, 10, 11, 18, 19, 20, 21)]
+    docs = [(d, "\n".join(edited(r, r.choice(pool), r.choice([0, 0, 1, 2])) for _ in range(r.randrange(1, 8)))) for d in range(60)]
+    docs += [(90, "Les.\n \n1.\n2."), (91, "Les.\n \n\t\n3.\nx"), (92, " \nLes.")]
+    got = {(x.doc_id, x.line, x.first_doc_id, x.first_line, x.edits) for x in lines.repeated_lines(frame(spark, docs)).collect()}
+    assert got == plain_short_lines(docs) and {(91, 0, 90, 0, 0), (92, 1, 90, 0, 0)} <= got
+    assert {e for *_, e in got} == {0, 1, 2}
+    assert {x.doc_id: x.text for x in lines.without_repeated_lines(frame(spark, docs[-3:])).collect()} == {90: "Les.\n \n1.\n2.", 91: " \n\t\n3.\nx"}
+
+
 def test_lines_through_the_join(spark, monkeypatch):
     """The way for lakes whose meetings can't be held in memory gives the same."""
     r = random.Random(3)
