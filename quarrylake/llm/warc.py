@@ -94,6 +94,8 @@ class Text:
 
     def __init__(self, pull):
         self.pull, self.buf = pull, bytearray()
+        #: bytes that came from the file or member so far
+        self.given = 0
 
     def until(self, end: bytes, most: int = 1 << 24) -> bytes | None:
         seen = 0
@@ -103,6 +105,7 @@ class Text:
             if not more or seen > most:
                 return None
             self.buf += more
+            self.given += len(more)
         out = bytes(self.buf[:at])
         del self.buf[: at + len(end)]
         return out
@@ -110,6 +113,7 @@ class Text:
     def take(self, n: int) -> bytes:
         while len(self.buf) < n and (more := self.pull(max(HEAD, n - len(self.buf)))):
             self.buf += more
+            self.given += len(more)
         out = bytes(self.buf[:n])
         del self.buf[:n]
         return out
@@ -140,54 +144,81 @@ class Member:
         return self.file.tell() - len(self.z.unused_data)
 
 
-def skip_length(file, start: int) -> int | None:
-    """The compressed size that the gzip header at start tells, if it does; None at the file's end is -1."""
+def skip_lengths(file, start: int) -> tuple[int | None, int | None]:
+    """The compressed and the uncompressed size that the gzip header at start tells, if it does; at the file's end -1."""
     file.seek(start)
     head = file.read(24)
     if not head:
-        return -1
+        return -1, None
     if len(head) >= 24 and head[3] & 4 and head[12:14] == b"sl" and head[14:16] == b"\x08\0":
-        return struct.unpack("<I", head[16:20])[0] or None
-    return None
+        size, whole = struct.unpack("<II", head[16:24])
+        return (size, whole) if size else (None, None)
+    return None, None
+
+
+def header(text: Text, start: int) -> bytes | None:
+    """The next record's header, without the blank lines before it; None where only blanks are left."""
+    head = b""
+    while not head.strip():
+        head = text.until(b"\r\n\r\n")
+        if head is None:
+            left = bytes(text.buf)
+            if left.strip() or len(left) > 1 << 24:
+                raise EOFError(f"a record breaks off, or its header does not end, after byte {start}")
+            return None
+    return head.lstrip(b"\r\n")
 
 
 def records(file, wanted, gzip: bool) -> Iterator[tuple[dict[str, str], object]]:
-    """The header of every record that is wanted, and a function that gives its payload. What isn't asked for is skipped."""
+    """The header of every record that is wanted, and a function that gives its payload. What isn't asked for is skipped.
+
+    A gzip member may hold any number of records. The skip lengths of its header tell
+    its size and that of its text, so it is left by a seek if the record ends it.
+    """
     start = 0
     while True:
         if gzip:
-            size = skip_length(file, start)
+            size, whole = skip_lengths(file, start)
             if size == -1:
                 return
             member = Member(file, start, size)
             text = Text(member.pull)
         else:
             file.seek(start)
-            text = Text(file.read)
-        # blank lines between records
-        head = text.until(b"\r\n\r\n")
-        while head is not None and not head.strip():
-            head = text.until(b"\r\n\r\n")
-        if head is None:
-            if gzip:
-                start = member.end()
-                continue
-            if bytes(text.buf).strip():
-                raise EOFError(f"a record breaks off after byte {start}")
-            return
-        body_at = None if gzip else file.tell() - len(text.buf)
-        fields = parsed(head.lstrip(b"\r\n"))
-        n = int(fields.get("Content-Length", "0"))
-        if wanted(fields):
-
-            def payload(text=text, n=n):
-                got = text.take(n)
-                if len(got) < n:
+            text, member, whole = Text(file.read), None, None
+        seen = 0
+        while (head := header(text, start)) is not None:
+            fields = parsed(head)
+            n = int(fields.get("Content-Length", "0"))
+            body_at = text.given - len(text.buf)
+            rest = n
+            if wanted(fields):
+
+                def payload(text=text, n=n):
+                    nonlocal rest
+                    got = text.take(n)
+                    rest = 0
+                    if len(got) < n:
+                        raise EOFError(f"a record breaks off after byte {start}")
+                    return got
+
+                yield fields, payload
+            seen = body_at + n
+            if not gzip:
+                start += seen
+                break
+            if whole is not None and 0 <= whole - seen <= 4:
+                break  # nothing is left but the line ends behind the record
+            while rest:
+                got = len(text.take(min(rest, 1 << 20)))
+                if not got:
                     raise EOFError(f"a record breaks off after byte {start}")
-                return got
-
-            yield fields, payload
-        start = member.end() if gzip else body_at + n
+                rest -= got
+        else:
+            if not gzip:
+                return
+        if gzip:
+            start = member.end()
 
 
 def compare(f: Filter, get) -> bool:

@@ -147,6 +147,26 @@ def test_warc_plain_and_foreign_files(spark, tmp_path):
         spark.read.format("warc").load(f"{tmp_path}/c.warc").collect()
 
 
+def test_warc_members_of_many_records(spark, tmp_path):
+    record = lambda kind, body: b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    bodies = [b"a" * 10, b"b" * 100_000, b"", b"WARC/1.0\r\n\r\n", b"c" * 3]
+    parts = [record(b"response" if k % 2 else b"request", b) for k, b in enumerate(bodies)]
+    foreign = lambda x: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(x) + z.flush()
+    (tmp_path / "a.warc.gz").write_bytes(foreign(b"".join(parts)))
+    (tmp_path / "b.warc.gz").write_bytes(foreign(b"".join(parts[:2])) + foreign(parts[2]) + foreign(b"".join(parts[3:])))
+    (tmp_path / "c.warc.gz").write_bytes(warc.member(b"".join(parts), 6) + warc.member(parts[0], 6))
+    warc.register(spark)
+    for name, more in (("a", []), ("b", []), ("c", bodies[:1])):
+        df = spark.read.format("warc").load(f"{tmp_path}/{name}.warc.gz")
+        assert sorted(r.payload for r in df.collect()) == sorted(b.decode() for b in bodies + more)
+        assert sorted(r.payload for r in df.filter("warc_type = 'response'").collect()) == sorted(b.decode() for b in bodies[1::2])
+        assert spark.read.format("warc").option("payload", "false").load(f"{tmp_path}/{name}.warc.gz").count() == 5 + len(more)
+    for k, broken in enumerate([b"WARC/1.0\r\nWARC-Type: x\r\n", parts[0] + parts[1][:30], parts[0] + parts[1][:-9]]):
+        (tmp_path / f"{k}.warc.gz").write_bytes(foreign(broken))
+        with pytest.raises(Exception, match="breaks off"):
+            spark.read.format("warc").load(f"{tmp_path}/{k}.warc.gz").collect()
+
+
 def test_skip_lengths():
     m = warc.member(b"x" * 1000, 3)
     assert struct.unpack("<I", m[16:20])[0] == len(m) and zlib.decompress(m, 31) == b"x" * 1000
