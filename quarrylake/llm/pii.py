@@ -1,7 +1,9 @@
 """PII: identifiers found by bootstrapped lexical patterns.
 
 Candidates are all stretches of a text that look like identifiers: with digits in
-groups, an at sign, mixed letters and digits, or a key and its value. A candidate
+groups, an at sign, mixed letters and digits, or a key and its value, of any length.
+A value runs to its closing quote or white space, without the punctuation that ends
+it, or to the next key and its value. A candidate
 is an instance; what it looks like and what stands around it are patterns:
 
 * its shape (runs of letters, digits and of both, with the lengths of the digits),
@@ -50,14 +52,20 @@ PRIOR = 1.0
 SUPPORT = 3
 THRESHOLD = 0.6
 KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "key")
+#: What may end a value; inside one it belongs to it.
+_END = r"[.,;:?)\]}><&|]"
+_RUN = rf"""(?:[^\s"'.,;:?)\]}}><&|]++|(?!{_END}*+(?<=[,;&|?])[A-Za-z_]\w*+\ ?[=:])(?!</?[A-Za-z]){_END}++(?![\s"']|\Z))++"""
+#: A value that is an address, a number or a phone number itself is a candidate without its key.
+_PLAIN = r"(?=[A-Za-z_+/-]*+\d)(?=[A-Za-z0-9_+/-]{8})|(?!//)(?![\w.+%-]{1,64}@[\w-]{1,63}\.[\w-])(?!\d{1,3}(?:\.\d{1,3}){3}(?![.]?\w))(?!\+\d{1,3}[.(])(?!\d+\.[\d.]*+(?!\w))"
+LEAST_VALUE = 8
 CANDIDATE = re.compile(
     r"""(?P<mail>[\w.+%-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8})
-    |(?P<pair>(?<!\w)[A-Za-z_]{2,24}\ ?[=:]\ ?["']?(?=[A-Za-z_+/-]{0,200}\d)[A-Za-z0-9_+/-]{8,200}["']?)
+    |(?P<pair>(?<!\w)[A-Za-z_]{2,24}\ ?[=:]\ ?(?:"(?=PLAIN)(?P<double>[^\s"]++)"|'(?=PLAIN)(?P<single>[^\s']++)'|["']?(?:PLAIN)(?P<bare>RUN)["']?))
     |(?<![\w.])(?P<quad>\d{1,3}(?:\.\d{1,3}){3})(?![.]?\w)
     |(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w|\.\d))
-    |(?<!\w)(?P<code>(?:(?=[A-Za-z]{0,40}\d)[A-Za-z0-9]{9,64}))(?!\w)
+    |(?<!\w)(?P<code>(?:(?=[A-Za-z]*+\d)[A-Za-z0-9]{9,}+))(?!\w)
     |(?<![\w.])(?P<groups>\(?\d{2,4}\)?(?:[ -]\d{2,4}){1,6}(?!\w))
-    |(?<!\w)(?P<number>\d[\d.]*\d)(?!\w)""",
+    |(?<!\w)(?P<number>\d[\d.]*\d)(?!\w)""".replace("PLAIN", _PLAIN).replace("RUN", _RUN),
     re.X,
 )
 DIGIT = re.compile(r"\d|@")
@@ -119,8 +127,15 @@ def patterns_of(kind: str, value: str, before: str, after: str) -> list[tuple[st
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
     """Start, end, form, value, the word before and the word behind, of every candidate."""
-    for m in CANDIDATE.finditer(text):
+    at = 0
+    while m := CANDIDATE.search(text, at):
         s, e = m.span()
+        at = e
+        if m.lastgroup == "pair":
+            form = next(x for x in ("double", "single", "bare") if m[x] is not None)
+            if len(m[form]) < LEAST_VALUE or not re.search(r"\d", m[form]):
+                at = m.start(form)  # the value may be or hold a candidate
+                continue
         left = text[max(0, s - 40) : s].split()
         right = text[e : e + 40].split()
         yield s, e, m.lastgroup, m[0], left[-1] if left else "", right[0] if right else ""

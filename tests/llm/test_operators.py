@@ -304,6 +304,18 @@ def test_pii(spark):
     assert {r.doc_id for r in got} & {*range(30), 305} == set()
 
 
+def test_pii_candidates_are_whole():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    found = lambda t: [(kind, value) for _, _, kind, value, *_ in pii.candidates(t)]
+    for value in ("ab1" * 120, jwt, "a1" * 400, "Pass.w0rd&more!and=99"):
+        assert found(f"x token={value} y") == [("pair", f"token={value}")] == found(f"x token={value}. y")
+        assert found(f'x token="{value}" y') == [("pair", f'token="{value}"')]
+    assert found(f"key {'0f' * 64} end") == [("code", "0f" * 64)]
+    assert found("user=bob12345&token=abcdefgh12345678, ok") == [("pair", "user=bob12345"), ("pair", "token=abcdefgh12345678")]
+    assert found("mail:bob7@mail7.example.com ip:10.20.30.40") == [("mail", "bob7@mail7.example.com"), ("quad", "10.20.30.40")]
+    assert found("see https://x.org/?token=abcdefgh12345678 id=12345,k=1")[0] == ("pair", "token=abcdefgh12345678")
+
+
 def test_pii_against_plain(spark):
     docs = pii_docs() * 2
     got = {(r.doc_id, r.kind, r.start, r.end, r.score, r.seed) for r in pii.identifiers(frame(spark, docs)).collect()}
