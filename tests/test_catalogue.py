@@ -1,5 +1,8 @@
 """Every query of the catalogue against its SQL, over the smallest tables."""
 
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -40,3 +43,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [["quarrylake/llm", "tests/llm"], ["quarrylake/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_the_rest_stands_alone(tmp_path, gone):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in gone:
+        p = tmp_path / "copy" / name
+        shutil.rmtree(p) if p.is_dir() else p.unlink(missing_ok=True)
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path / "copy", capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split()[2] == "False"
