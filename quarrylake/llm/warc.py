@@ -8,7 +8,8 @@ WARC header, the record type among them, are pushed down and judged after the
 header alone; those on the HTTP columns after the HTTP header. A payload that is
 not wanted is neither decoded nor, where the file tells its size, read: plain
 files are seeked, and so are gzip members with the skip lengths ("sl") that the
-format's appendix describes and that the writer puts in. Option ``payload`` is
+format's appendix describes and that the writer puts in. Names of fields count in
+any case. Option ``payload`` is
 ``true`` or ``false`` (the column is null, and no payload is decoded at all).
 
 ``df.write.format("warc").save(path)`` writes one gzip member for each record.
@@ -22,7 +23,7 @@ with line ends or outer blanks travel as encoded words, so they come back as the
 were. An empty payload is empty, not null. Repeated records stay repeated. Text
 that isn't valid UTF-8 is decoded by the charset the HTTP header names, else as
 Latin-1. A folder without files gives no rows; a file that breaks off inside a
-record raises an error that names the file and the place. Extra columns are not
+record, wanted or not, raises an error that names the file and the place. Extra columns are not
 written.
 """
 
@@ -74,18 +75,36 @@ def decoded(value: str) -> str:
     return base64.b64decode(m[1]).decode("utf-8", "replace") if m else value
 
 
-def parsed(head: bytes) -> dict[str, str]:
-    """The fields of a header without its first line; a folded line continues the one before, and of repeated fields the first counts."""
-    out: dict[str, str] = {}
+class Fields(dict):
+    """The fields of a header by the names that they came with; of() finds them whatever the case."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: dict[str, str] = {}
+
+    def of(self, name: str, default: str | None = None) -> str | None:
+        own = self.names.get(name.lower())
+        return default if own is None else self[own]
+
+    def add(self, name: str, value: str) -> None:
+        self.names[name.lower()] = name
+        self[name] = value
+
+
+def parsed(head: bytes) -> Fields:
+    """The fields of a header without its first line; a folded line continues the one before, and of repeated fields, in whatever case, the first counts."""
+    out = Fields()
     last = None
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and last:
             out[last] += " " + line.strip()
             continue
         name, colon, value = line.partition(":")
-        if colon and name not in out:
+        name = name.strip()
+        last = None
+        if colon and name.lower() not in out.names:
             last = name
-            out[name] = decoded(value.strip())
+            out.add(name, decoded(value.strip()))
     return out
 
 
@@ -169,51 +188,76 @@ def header(text: Text, start: int) -> bytes | None:
     return head.lstrip(b"\r\n")
 
 
-def records(file, wanted, gzip: bool) -> Iterator[tuple[dict[str, str], object]]:
-    """The header of every record that is wanted, and a function that gives its payload. What isn't asked for is skipped.
+class Body:
+    """What follows a record's header: n bytes, read when asked for."""
+
+    def __init__(self, text: Text, n: int, start: int):
+        self.text, self.left, self.start = text, n, start
+
+    def take(self, n: int) -> bytes:
+        got = self.text.take(min(n, self.left))
+        self.left -= len(got)
+        if len(got) < n and self.left:
+            raise EOFError(f"a record breaks off after byte {self.start}")
+        return got
+
+    def head(self, end: bytes = b"\r\n\r\n") -> bytes:
+        """Up to the first blank line, and no more than that by a buffer; all of it if there is none."""
+        seen = bytearray()
+        while self.left:
+            seen += self.take(min(len(self.text.buf) or HEAD, self.left))
+            at = seen.find(end)
+            if at >= 0:
+                back = seen[at + len(end) :]
+                self.text.buf[:0] = back
+                self.left += len(back)
+                return bytes(seen[:at])
+        return bytes(seen)
+
+    def rest(self) -> bytes:
+        return self.take(self.left)
+
+    def skip(self) -> None:
+        while self.left:
+            self.take(min(self.left, 1 << 20))
+
+
+def records(file, wanted, gzip: bool) -> Iterator[tuple[Fields, Body]]:
+    """The header of every record that is wanted, and its body. What isn't asked for is skipped.
 
     A gzip member may hold any number of records. The skip lengths of its header tell
     its size and that of its text, so it is left by a seek if the record ends it.
     """
-    start = 0
+    start, end = 0, file.seek(0, 2)
+    end = file.tell() if end is None else end
+    broken = EOFError(f"a record breaks off at the file's end, byte {end}")
     while True:
         if gzip:
             size, whole = skip_lengths(file, start)
             if size == -1:
                 return
+            if size and start + size > end:
+                raise broken
             member = Member(file, start, size)
             text = Text(member.pull)
         else:
             file.seek(start)
             text, member, whole = Text(file.read), None, None
-        seen = 0
         while (head := header(text, start)) is not None:
             fields = parsed(head)
-            n = int(fields.get("Content-Length", "0"))
-            body_at = text.given - len(text.buf)
-            rest = n
+            n = int(fields.of("Content-Length", "0"))
+            seen = text.given - len(text.buf) + n
+            body = Body(text, n, start)
             if wanted(fields):
-
-                def payload(text=text, n=n):
-                    nonlocal rest
-                    got = text.take(n)
-                    rest = 0
-                    if len(got) < n:
-                        raise EOFError(f"a record breaks off after byte {start}")
-                    return got
-
-                yield fields, payload
-            seen = body_at + n
+                yield fields, body
             if not gzip:
                 start += seen
+                if start > end:
+                    raise broken
                 break
             if whole is not None and 0 <= whole - seen <= 4:
                 break  # nothing is left but the line ends behind the record
-            while rest:
-                got = len(text.take(min(rest, 1 << 20)))
-                if not got:
-                    raise EOFError(f"a record breaks off after byte {start}")
-                rest -= got
+            body.skip()
         else:
             if not gzip:
                 return
@@ -244,8 +288,8 @@ def compare(f: Filter, get) -> bool:
     return ops[type(f)]()
 
 
-def column(fields: dict[str, str], name: str):
-    value = fields.get(FIELDS[name])
+def column(fields: Fields, name: str):
+    value = fields.of(FIELDS[name])
     return int(value) if name == "content_length" and value is not None else value
 
 
@@ -316,8 +360,8 @@ class WarcReader(DataSourceReader):
             with fs.open_input_file(path) as raw:
                 file = io.BufferedReader(raw, 1 << 16) if isinstance(raw, io.RawIOBase) else raw
                 try:
-                    for fields, payload in records(file, lambda x: all(compare(f, lambda c: column(x, c)) for f in self.warc_filters), path.endswith(".gz")):
-                        row, size = self.row(fields, payload)
+                    for fields, body in records(file, lambda x: all(compare(f, lambda c: column(x, c)) for f in self.warc_filters), path.endswith(".gz")):
+                        row, size = self.row(fields, body)
                         if row:
                             rows.append(row)
                             held += size
@@ -329,25 +373,22 @@ class WarcReader(DataSourceReader):
         if rows:
             yield batch()
 
-    def row(self, fields: dict[str, str], payload) -> tuple[tuple | None, int]:
-        status, kind, body = None, None, None
-        kept = NULL not in fields
-        http = re.match(r"application/http\b", fields.get("Content-Type", "")) and kept
-        if http:
-            body = payload()
-            head, _, rest = body.partition(b"\r\n\r\n")
+    def row(self, fields: Fields, body: Body) -> tuple[tuple | None, int]:
+        """A row and its size, or None. Of a HTTP message, the header is judged before the payload is read."""
+        status, kind, value = None, None, None
+        kept = fields.of(NULL) is None
+        if re.match(r"application/http\b", fields.of("Content-Type", "")) and kept:
+            head = body.head()
             line = re.match(rb"HTTP/\S+\s+(\d{3})", head)
-            status, own = int(line[1]) if line else None, parsed(head)
-            kind = next((v for k, v in own.items() if k.lower() == "content-type"), None)
-            body = rest
+            status, kind = int(line[1]) if line else None, parsed(head).of("Content-Type")
         if not all(compare(f, {"http_status": status, "http_type": kind}.get) for f in self.http_filters):
             return None, 0
-        if not self.payload or not kept:
-            body = None
-        elif body is None:
-            body = payload()
-        value = None if body is None else text_of(body, kind or fields.get("Content-Type", ""))
-        return (*(column(fields, c) for c in FIELDS), status, kind, list(fields.items()), value), 200 + len(body or b"")
+        size = 200
+        if self.payload and kept:
+            raw = body.rest()
+            size += len(raw)
+            value = text_of(raw, kind or fields.of("Content-Type", ""))
+        return (*(column(fields, c) for c in FIELDS), status, kind, list(fields.items()), value), size
 
 
 def text_of(body: bytes, kind: str) -> str:
