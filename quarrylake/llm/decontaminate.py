@@ -1,20 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-First all documents are searched for the benchmark's word ``SEED``-grams, which
-gives their frequencies. A gram is a seed if it is rare (at most one occurrence in
-``RARE`` documents), and so is the rarest of every ``BLOCK`` neighbouring grams of
-an item, however often it occurs, so that an item copied thousands of times keeps
-its seeds. Wherever a document has a seed of an item, the local alignment of the
-item with the text around it is scored (match +2, mismatch -1, gap -1 a word) and
-divided by the score of an exact copy. Text three item lengths around the seeds is
-aligned: an alignment through a seed can't reach further, so nothing is cut.
+First all documents are searched for the benchmark's word bigrams and trigrams,
+which gives their frequencies. A gram is a seed if it is rare (at most ``FEW``
+occurrences, or one in ``RARE`` words), and so is the rarest of every ``BLOCK``
+neighbouring grams of an item that occur at all, however often, so that an item
+copied thousands of times keeps its seeds. These are shares of the corpus, whatever
+its size. A document and an item meet where they share a seed trigram, or a chain of
+``CHAIN`` seed bigrams as far apart in one as in the other, give or take ``SHIFT``
+words from each to the next; so a copy with each third word replaced, which has no
+trigram left, is met, too. Around these places the local alignment of the item with
+the text is scored (match +2, mismatch -1, gap -1 a word) and divided by the score of
+an exact copy. An alignment that reaches the least share has at most as many further
+words as its score allows, so text of ``reach`` items around the seeds is aligned and
+nothing is cut.
 
 The benchmark is held by every task. It is taken in slices of at most
 ``SLICE_WORDS`` words, so what is broadcast is bounded; a larger benchmark takes
-more passes over the documents.
+more passes over the documents. Grams are counted over all documents for each slice,
+so the slices make no difference to the result.
 
 Defined cases: a null or empty text has no matches; an item with fewer words than
-a seed matches nothing; a null id of a document or an item stays null in the
+three matches nothing; a null id of a document or an item stays null in the
 report; repeated documents and items each give their rows; of equal scores the
 first place in the text counts; either table may be empty; further columns of
 documents go through untouched.
@@ -33,31 +39,27 @@ from pyspark.sql import types as T
 from . import textkit as K
 from .common import fresh, with_fields
 
-SEED = 3
-BLOCK = 4
-RARE = 1000
+FEW = 100
+RARE = 100_000
+CHAIN = 3
+#: Of so many neighbouring grams of an item one is a seed, by the words of a gram.
+BLOCK = {2: 2, 3: 4}
+SHIFT = 1
 MIN_SCORE = 0.5
 SLICE_WORDS = 1 << 22
 CELLS = 1 << 21
 
 
-class Items:
-    """The words of some benchmark items, and a table of n-grams with the items and places that have them."""
+class Grams:
+    """The n-grams of some benchmark items, and the items and places that have them."""
 
-    def __init__(self, texts: pa.Array, n: int):
-        w = K.words(texts)
-        self.words, self.ptr, self.n = w.hashes, w.ptr, n
-        self.at, gram = w.grams(n)
-        self.item = w.row[self.at]
-        self.grams, self.gram_of = np.unique(gram, return_inverse=True)
-        self._table()
-
-    def _table(self) -> None:
-        by = np.argsort(self.gram_of, kind="stable")
-        self.who, self.where = self.item[by], (self.at - self.ptr[self.item])[by]
-        self.who_ptr = np.searchsorted(self.gram_of[by], np.arange(len(self.grams) + 1))
+    def __init__(self, at: np.ndarray, item: np.ndarray, where: np.ndarray, grams: np.ndarray, gram_of: np.ndarray, n: int):
+        self.at, self.item, self.where, self.grams, self.gram_of, self.n = at, item, where, grams, gram_of, n
+        by = np.argsort(gram_of, kind="stable")
+        self.who, self.there = item[by], where[by]
+        self.who_ptr = np.searchsorted(gram_of[by], np.arange(len(grams) + 1))
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.grams >> np.uint64(44)] = True
+        self.maybe[grams >> np.uint64(44)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are grams of the table, and which gram each is."""
@@ -68,36 +70,77 @@ class Items:
         ok = self.grams[g] == h[some]
         return some[ok], g[ok]
 
-    def seeds(self, count: np.ndarray, documents: int) -> "Items":
-        """With the rare grams only, and the rarest of every block of an item."""
-        keep = count <= max(1, documents // RARE)
+    def hits(self, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The items that have a gram of the text, the word at which it begins there, and that in the item."""
+        at, h = w.grams(self.n)
+        hit, gram = self.find(h)
+        which, k = K.spread(self.who_ptr[gram + 1] - self.who_ptr[gram])
+        some = self.who_ptr[gram][which] + k
+        return self.who[some], at[hit][which], self.there[some]
+
+    def seeds(self, count: np.ndarray, words: int) -> "Grams":
+        """Those that are rare in so many words, or the rarest of a block of neighbours."""
+        keep = (count <= max(FEW, words // RARE)) & (count > 0)
+        count = np.where(count > 0, count, np.iinfo(np.int64).max)
         if len(self.at):
-            left = np.repeat(np.r_[np.flatnonzero(np.diff(self.item)) + 1, len(self.item)], np.diff(np.r_[0, np.flatnonzero(np.diff(self.item)) + 1, len(self.item)]))
-            low = np.full(len(self.at), np.iinfo(np.int64).max)
-            mine = count[self.gram_of]
-            for k in range(BLOCK):  # the least count of the block that starts here, inside the item
-                low = np.minimum(low, mine[np.minimum(np.arange(len(mine)) + k, left - 1)])
-            for k in range(BLOCK):
-                to = np.minimum(np.arange(len(mine)) + k, left - 1)
-                best = mine[to] == low
-                keep[self.gram_of[to[best]]] = True
+            first = np.flatnonzero(np.r_[True, self.item[1:] != self.item[:-1]])
+            size = np.diff(np.r_[first, len(self.item)])
+            end = np.repeat(first + size, size)
+            mine, at = count[self.gram_of], np.arange(len(self.at))
+            block = [np.minimum(at + k, end - 1) for k in range(BLOCK[self.n])]
+            low = np.min([mine[to] for to in block], axis=0)
+            for to in block:
+                keep[self.gram_of[to[mine[to] == low]]] = True
+        keep &= count < np.iinfo(np.int64).max
+        some = keep[self.gram_of]
+        return Grams(self.at[some], self.item[some], self.where[some], self.grams[keep], (np.cumsum(keep) - 1)[self.gram_of[some]], self.n)
+
+
+class Items:
+    """The words of some benchmark items, and their grams."""
+
+    def __init__(self, texts: pa.Array):
+        w = K.words(texts)
+        self.words, self.ptr = w.hashes, w.ptr
+        self.tables = []
+        for n in BLOCK:
+            at, gram = w.grams(n)
+            long = w.counts[w.row[at]] >= max(BLOCK)
+            at, gram = at[long], gram[long]
+            item = w.row[at]
+            self.tables.append(Grams(at, item, at - w.ptr[item], *np.unique(gram, return_inverse=True), n))
+
+    def seeds(self, counts: list[np.ndarray], words: int) -> "Items":
         out = object.__new__(Items)
-        out.words, out.ptr, out.n = self.words, self.ptr, self.n
-        left_over = keep[self.gram_of]
-        new = np.cumsum(keep) - 1
-        out.at, out.item, out.grams, out.gram_of = self.at[left_over], self.item[left_over], self.grams[keep], new[self.gram_of[left_over]]
-        out._table()
+        out.words, out.ptr, out.tables = self.words, self.ptr, [t.seeds(c, words) for t, c in zip(self.tables, counts)]
         return out
 
+    def places(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+        """The items and the words of the text at which they meet it, in order of row, item and word."""
+        (who, pos, there), (who3, pos3, _) = (t.hits(w) for t in self.tables)
+        # bigrams need others of the item, as far from them as there
+        shift = pos - there
+        by = np.lexsort((there, shift, who, w.row[pos]))
+        who, pos, there, shift = who[by], pos[by], there[by], shift[by]
+        apart = (w.row[pos][1:] != w.row[pos][:-1]) | (who[1:] != who[:-1]) | (shift[1:] - shift[:-1] > SHIFT)
+        chain = np.cumsum(np.r_[True, apart][: len(who)])
+        # a place of the item counts once in a chain
+        again = np.r_[False, ~apart & (there[1:] == there[:-1])][: len(who)]
+        some = np.bincount(chain, ~again)[chain] >= CHAIN if len(who) else np.zeros(0, bool)
+        who, pos = np.r_[who[some], who3], np.r_[pos[some], pos3]
+        by = np.lexsort((pos, who, w.row[pos]))
+        return who[by], pos[by]
+
 
 def smith_waterman(item: np.ndarray, item_len: np.ndarray, text: np.ndarray, text_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best local scores of padded pairs, and the text's words at which these alignments end."""
     b, width = text.shape
-    slope = np.arange(width, dtype=np.int32)
-    score, best, end = np.zeros((b, width + 1), np.int32), np.zeros(b, np.int32), np.zeros(b, np.int64)
+    kind = np.int16 if width + 2 * item.shape[1] < 1 << 15 else np.int32
+    slope = np.arange(width, dtype=kind)
+    score, best, end = np.zeros((b, width + 1), kind), np.zeros(b, kind), np.zeros(b, np.int64)
     inside = slope[None, :] < text_len[:, None]
     for i in range(item.shape[1]):
-        step = np.where((text == item[:, i, None]) & inside, 2, -1)
+        step = np.where((text == item[:, i, None]) & inside, kind(2), kind(-1))
         now = np.maximum(score[:, :-1] + step, score[:, 1:] - 1)
         np.maximum(now, 0, out=now)
         now += slope
@@ -114,21 +157,19 @@ def smith_waterman(item: np.ndarray, item_len: np.ndarray, text: np.ndarray, tex
 
 def matches(w: K.Words, items: Items, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, item, share of the item's full score and the word where the alignment ends, of every pair that reaches the least share."""
-    at, h = w.grams(items.n)
-    hit, gram = items.find(h)
-    which, k = K.spread(items.who_ptr[gram + 1] - items.who_ptr[gram])
-    who, pos = items.who[items.who_ptr[gram][which] + k], at[hit][which]
+    who, pos = items.places(w)
     none = np.zeros(0, np.int64)
     if not len(who):
         return none, none, np.zeros(0), none
     row, size = w.row[pos], np.diff(items.ptr)[who]
-    by = np.lexsort((pos, who, row))
-    row, who, pos, size = row[by], who[by], pos[by], size[by]
-    new = np.r_[True, (row[1:] != row[:-1]) | (who[1:] != who[:-1]) | (pos[1:] - pos[:-1] > 7 * size[1:])]
+    # an alignment that reaches the share has all of the item's words and some more at most
+    reach = 1 + 2 * (1 - least)
+    far = np.ceil(reach * size).astype(np.int64) + max(BLOCK)
+    new = np.r_[True, (row[1:] != row[:-1]) | (who[1:] != who[:-1]) | (pos[1:] - pos[:-1] > 2 * far[1:])]
     first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
-    row, who, size = row[first], who[first], size[first]
-    lo = np.maximum(pos[first] - 3 * size, w.ptr[row])
-    hi = np.minimum(pos[last] + 3 * size + items.n, w.ptr[row + 1])
+    row, who, size, far = row[first], who[first], size[first], far[first]
+    lo = np.maximum(pos[first] - far, w.ptr[row])
+    hi = np.minimum(pos[last] + far, w.ptr[row + 1])
     score, end = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
     by = np.argsort(hi - lo, kind="stable")
     at = 0
@@ -161,22 +202,24 @@ def slices(benchmark: DataFrame, item_id: str, text: str) -> list[pa.Table]:
 
 def seeded(docs: DataFrame, part: pa.Table, text: str) -> Items:
     """The items of a slice with their seeds, by the grams' counts over all documents."""
-    items = Items(part.column("text"), SEED)
+    items = Items(part.column("text"))
     held = docs.sparkSession.sparkContext.broadcast(items)
+    first = np.r_[0, np.cumsum([len(t.grams) for t in items.tables])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, rows = held.value, 0
-        total = np.zeros(len(items.grams), np.int64)
+        total = np.zeros(first[-1] + 1, np.int64)
         for b in K.chunks(batches):
-            rows += b.num_rows
-            total += np.bincount(items.find(K.words(b.column("text")).grams(items.n)[1])[1], minlength=len(total))
+            w = K.words(b.column("text"))
+            total[-1] += len(w.starts)
+            for t, at in zip(held.value.tables, first):
+                total[at : at + len(t.grams)] += np.bincount(t.find(w.grams(t.n)[1])[1], minlength=len(t.grams))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, total[some]])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
-    got = docs.select(F.col(text).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(items.grams) + 1, np.int64)
-    counts[got.gram.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    return items.seeds(counts[:-1], int(counts[-1]))
+    got = docs.select(F.col(text).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(first[-1] + 1, np.int64)
+    counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    return items.seeds(np.split(counts[:-1], first[1:-1]), int(counts[-1]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = MIN_SCORE) -> DataFrame:
@@ -198,8 +241,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that match no item, with the columns of docs."""
+    every = docs
     for part in slices(benchmark, item_id, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(seeded(docs, part, text))
+        held = docs.sparkSession.sparkContext.broadcast(seeded(every, part, text))
         (flag,) = fresh(docs, "contaminated")
 
         def run(batches: Iterator[pa.RecordBatch], held=held, flag=flag) -> Iterator[pa.RecordBatch]:
