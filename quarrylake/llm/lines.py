@@ -14,8 +14,9 @@ within them share a segment, at places that the lengths bound; so each content
 puts its segments into an index by length and segment, and probes the indexes of
 its own length l and of the lengths below it that its edits reach with the few substrings that a match can leave in
 place. Keys travel packed, with a content's hash; only contents that meet another
-one send their text, once for each key they meet at, and are verified by the
-banded bit-parallel edit distance. Nothing is capped.
+one (found by a filter of at most ``BLOOM_BITS`` bits, then exactly by a join) send
+their text, once for each key they meet at, and are verified by the banded
+bit-parallel edit distance. Nothing is capped.
 
 Defined cases: null and empty texts have no lines that count; blank lines below
 MIN_BYTES bytes always stay, longer ones are lines like others; null ids come last; rows with the same id and text are one
@@ -34,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import fresh, parts, stored
+from .common import bucket_count, bucket_ids, fresh, stored
 from .substrings import split
 
 MIN_BYTES = 20
 EDITS = 2
 BYTES_AN_EDIT = 10
-MAX_LOCAL = 1 << 21
+BLOOM_BITS = 1 << 29
+EACH = 8 << 20
 HELD = 16 << 20
 CELLS = 1 << 22
 LAST = (1 << 63) - 1
@@ -159,9 +161,38 @@ def meeting(key_: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, n
         a0 = a1
 
 
+def bloom(needed: DataFrame) -> np.ndarray:
+    """The bits of a filter of the hashes, two for each: 16 bits a hash, at most BLOOM_BITS together, beyond which more passes than needs to."""
+    width = min(BLOOM_BITS, max(1 << 16, 1 << int(16 * needed.count()).bit_length()))
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(places(b.column("h").to_numpy().view(np.uint64), width)))
+            first = np.flatnonzero(np.r_[True, at[1:] >> 6 != at[:-1] >> 6])
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] >> 6), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = needed.select("h").mapInArrow(set_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(width // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def places(h: np.ndarray, width: int) -> list[np.ndarray]:
+    return [(K.mix(h ^ np.uint64(s)) & np.uint64(width - 1)).astype(np.int64) for s in (7, 11)]
+
+
+def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for place in places(h, len(bits) * 8):
+        ok &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+    return np.flatnonzero(ok)
+
+
 def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
     """h, x (first line: doc_id, fp, line), edits: contents that go for an earlier one, and that one's first line."""
     spark = slim.sparkSession
+    ids = bucket_ids(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, target=4 * K.CHUNK):
@@ -175,7 +206,7 @@ def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
             k, who, index = (np.concatenate(x) for x in zip(*got))
             by, ptr = split((k % np.uint64(buckets)).astype(np.int64), buckets)
             rows = [(n, by[ptr[n] : ptr[n + 1]]) for n in range(buckets) if ptr[n + 1] > ptr[n]]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int32()), *(pa.array([x[some].tobytes() for _, some in rows], pa.binary()) for x in (k, who, index))], names=["bucket", "k", "h", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[[n for n, _ in rows]]), *(pa.array([x[some].tobytes() for _, some in rows], pa.binary()) for x in (k, who, index))], names=["bucket", "k", "h", "i"])
 
     get = lambda t, c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]) if t.num_rows else np.zeros(0, kind)
 
@@ -193,47 +224,33 @@ def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
         ok = (np.bincount(group)[group] > 1) & (np.bincount(group, weights=index)[group] > 0)
         return pa.table({"h": h[ok].view(np.int64), "k": k[ok].view(np.int64), "i": pa.array(index[ok])})
 
-    sent = slim.select("text").mapInArrow(send, "bucket int, k binary, h binary, i binary")
+    sent = slim.select("text").mapInArrow(send, "bucket int, k binary, h binary, i binary").repartition(buckets, "bucket")
     needed = stored(sent.groupBy("bucket").applyInArrow(meet, "h bigint, k bigint, i boolean"), "meetings")
-    small = needed.limit(MAX_LOCAL + 1).count() <= MAX_LOCAL
-    held = None
-    if small:
-        local = needed.toArrow()
-        h = local.column("h").to_numpy().view(np.uint64)
-        by = np.argsort(h, kind="stable")
-        held = spark.sparkContext.broadcast((h[by], local.column("k").to_numpy()[by], local.column("i").to_numpy(zero_copy_only=False)[by]))
+    held = spark.sparkContext.broadcast(bloom(needed))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first line of each content that may meet another one, as far as a chunk sees."""
         for b in K.chunks(batches):
             w = lines(b.column("text"))
             at = np.flatnonzero(allowed(w.ends - w.starts) > 0)
             h = K.hash_spans(w.data, w.starts[at], w.ends[at])
-            if held:
-                lo, hi = np.searchsorted(held.value[0], h), np.searchsorted(held.value[0], h, "right")
-                some = np.flatnonzero(hi > lo)
-                line, n = K.spread((hi - lo)[some])
-                pick = lo[some][line] + n
-                line = some[line]
-                k, index = held.value[1][pick], held.value[2][pick]
-                if not len(line):
-                    continue
-            else:
-                line = np.arange(len(at))
-            row = w.row[at[line]]
-            offsets = np.r_[0, np.cumsum(w.ends[at[line]] - w.starts[at[line]])]
+            some = passing(held.value, h)
+            at, h = at[some], h[some]
+            row = w.row[at]
+            doc, fp = b.column("doc_id").fill_null(LAST).to_numpy()[row], b.column("fp").to_numpy()[row]
+            by = np.lexsort((at - w.ptr[row], fp, doc, h))
+            by = by[np.r_[True, h[by][1:] != h[by][:-1]][: len(by)]]
+            if not len(by):
+                continue
+            at, row, h = at[by], row[by], h[by]
+            offsets = np.r_[0, np.cumsum(w.ends[at] - w.starts[at])]
             _, j = K.spread(np.diff(offsets))
-            body = w.data[np.repeat(w.starts[at[line]], np.diff(offsets)) + j]
-            text = pa.Array.from_buffers(pa.binary(), len(line), [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(body.tobytes())])
-            cols = [pa.array(h[line].view(np.int64)), b.column("doc_id").fill_null(LAST).take(pa.array(row)), b.column("fp").take(pa.array(row)), pa.array((at[line] - w.ptr[row]).astype(np.int64)), text]
-            if held:
-                cols += [pa.array(k), pa.array(index), pa.array((K.mix(k.view(np.uint64).copy()) % np.uint64(buckets)).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "fp", "line", "body", "k", "i", "bucket"][: len(cols)])
-
-    kind = "h bigint, doc_id bigint, fp bigint, line bigint, body binary"
-    if held:
-        bodies = slim.mapInArrow(texts, f"{kind}, k bigint, i boolean, bucket int")
-    else:
-        bodies = slim.mapInArrow(texts, kind).join(needed, "h").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
+            body = w.data[np.repeat(w.starts[at], np.diff(offsets)) + j]
+            text = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(body.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[by]), pa.array(fp[by]), pa.array((at - w.ptr[row]).astype(np.int64)), text], names=["h", "doc_id", "fp", "line", "body"])
+
+    found = slim.mapInArrow(texts, "h bigint, doc_id bigint, fp bigint, line bigint, body binary")
+    bodies = found.join(needed, "h").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
 
     def verify(t: pa.Table) -> pa.Table:
         get_ = lambda c: t.column(c).to_numpy()
@@ -276,8 +293,11 @@ def near_contents(slim: DataFrame, buckets: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (the text's hash), line, first_doc_id, first_line and edits of every line that goes."""
     slim = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("fp"))
-    buckets = parts(docs.sparkSession)
-    near = near_contents(slim, buckets)
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    near = near_contents(slim, bucket_count(docs.sparkSession, size / 2, EACH))
+    # occurrences and losers meet by a cogroup, which partitions by the hash of the bucket
+    buckets = bucket_count(docs.sparkSession, size / 4, EACH)
+    numbers = bucket_ids(buckets)
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -287,7 +307,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
             cols = [np.concatenate(x) for x in zip(*kept)]
             by, ptr = split((cols[0] % np.uint64(buckets)).astype(np.int64), buckets)
             rows = [(n, by[ptr[n] : ptr[n + 1]]) for n in range(buckets) if ptr[n + 1] > ptr[n]]
-            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int32()), *(pa.array([x[some].tobytes() for _, some in rows], pa.binary()) for x in cols)], names=["bucket", "h", "doc", "fp", "line"])
+            return pa.RecordBatch.from_arrays([pa.array(numbers[[n for n, _ in rows]]), *(pa.array([x[some].tobytes() for _, some in rows], pa.binary()) for x in cols)], names=["bucket", "h", "doc", "fp", "line"])
 
         for b in K.chunks(batches):
             w = lines(b.column("text"))
@@ -325,10 +345,14 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         null = lambda x: pa.array(x[g], pa.int64(), mask=x[g] == LAST)
         return pa.table({"doc_id": null(doc), "fp": fp[g], "line": line[g], "first_doc_id": null(to_doc), "first_line": to_line[g], "edits": edits[g]})
 
-    # the bucket of a content's hash, as numpy takes it from the unsigned number
-    unsigned = F.when(F.col("h") >= 0, F.pmod("h", F.lit(buckets))).otherwise(F.pmod(F.pmod("h", F.lit(buckets)) + F.lit((1 << 64) % buckets), F.lit(buckets)))
-    lost = near.select(unsigned.cast("int").alias("bucket"), "h", "x.doc_id", "x.line", "x.edits")
-    return occurrences.groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(judge, "doc_id bigint, fp bigint, line bigint, first_doc_id bigint, first_line bigint, edits bigint")
+    def lost_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket = numbers[(b.column("h").to_numpy().view(np.uint64) % np.uint64(buckets)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *b.columns], names=["bucket", *b.schema.names])
+
+    lost = near.select("h", "x.doc_id", "x.line", "x.edits").mapInArrow(lost_in, "bucket int, h bigint, doc_id bigint, line bigint, edits bigint")
+    occurrences, lost = (x.repartition(buckets, "bucket").groupBy("bucket") for x in (occurrences, lost))
+    return occurrences.cogroup(lost).applyInArrow(judge, "doc_id bigint, fp bigint, line bigint, first_doc_id bigint, first_line bigint, edits bigint")
 
 
 def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
