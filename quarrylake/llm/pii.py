@@ -69,6 +69,7 @@ CANDIDATE = re.compile(
     re.X,
 )
 DIGIT = re.compile(r"\d|@")
+BEFORE, AFTER = re.compile(r"\s*(\S*)"), re.compile(r"\s*(\S*)")
 
 
 def luhn(digits: str) -> bool:
@@ -136,9 +137,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
             if len(m[form]) < LEAST_VALUE or not re.search(r"\d", m[form]):
                 at = m.start(form)  # the value may be or hold a candidate
                 continue
-        left = text[max(0, s - 40) : s].split()
-        right = text[e : e + 40].split()
-        yield s, e, m.lastgroup, m[0], left[-1] if left else "", right[0] if right else ""
+        before = BEFORE.match(text[:s][::-1]) if s < 64 else BEFORE.match(text[s - 64 : s][::-1])
+        if before.end() == 64:  # the word before, or the space behind it, is longer
+            before = BEFORE.match(text[:s][::-1])
+        yield s, e, m.lastgroup, m[0], before[1][::-1], AFTER.match(text, e)[1]
 
 
 def key(text: str) -> int:
