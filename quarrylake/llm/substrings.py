@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import parts
+from .common import bucket_count, bucket_ids
 
 WINDOW = 50
 RUN = 25
@@ -37,6 +37,7 @@ DEPTH = 2
 BLOCK = 20
 MAX_CELLS = 1 << 31
 HELD = 16 << 20
+EACH = 8 << 20
 
 
 def slide(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -88,6 +89,9 @@ def repeated_cells(slim: DataFrame, width: int) -> np.ndarray:
         def out() -> pa.RecordBatch:
             rows = []
             for d, cell in enumerate(np.concatenate(x) for x in zip(*held)):
+                # the partition's sketch: its counters stop at two, and so often a cell is named
+                cell, n = np.unique(cell, return_counts=True)
+                cell = np.repeat(cell, np.minimum(n, 2))
                 by, ptr = split(cell >> BLOCK, blocks)
                 local = (cell[by] & low).astype("<u4")
                 rows += [(d * blocks + k, local[ptr[k] : ptr[k + 1]].tobytes()) for k in range(blocks) if ptr[k + 1] > ptr[k]]
@@ -126,8 +130,11 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """doc_id, start_word, end_word (exclusive) and n_words of every longest passage whose windows all occur twice or more."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    width = width_for((slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6)
-    held, buckets = spark.sparkContext.broadcast(repeated_cells(slim, width)), parts(spark)
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = width_for(size / 6)
+    bits = repeated_cells(slim, width)
+    held, buckets = spark.sparkContext.broadcast(bits), bucket_count(spark, size / 3, EACH)
+    numbers = bucket_ids(buckets)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed by bucket: windows' hashes, and (doc_id, is null, first word, windows) of each run with one anchor."""
@@ -144,7 +151,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
                 some = by[ptr[k] : ptr[k + 1]]
                 if len(some):
                     which, j = K.spread(n[some])
-                    rows.append((k, ids[some].tobytes(), null[some].tobytes(), start[some].tobytes(), n[some].tobytes(), hashes[at[some][which] + j].tobytes()))
+                    rows.append((numbers[k], ids[some].tobytes(), null[some].tobytes(), start[some].tobytes(), n[some].tobytes(), hashes[at[some][which] + j].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6)], names=["bucket", "ids", "nulls", "starts", "sizes", "hashes"])
 
         for b in K.chunks(batches):
@@ -188,7 +195,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         run = which[first]
         return pa.table({"doc_id": pa.array(ids[run], pa.int64(), mask=null[run] > 0), "s": pa.array(start[run] + j[first], pa.int64()), "e": pa.array(start[run] + j[last] + WINDOW, pa.int64())}) if len(at) else pa.table({"doc_id": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "e": pa.array([], pa.int64())})
 
-    runs = slim.mapInArrow(candidates, "bucket int, ids binary, nulls binary, starts binary, sizes binary, hashes binary").groupBy("bucket").applyInArrow(exact, "doc_id bigint, s bigint, e bigint")
+    runs = slim.mapInArrow(candidates, "bucket int, ids binary, nulls binary, starts binary, sizes binary, hashes binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(exact, "doc_id bigint, s bigint, e bigint")
     # runs of one passage overlap: they begin in neighbouring words and are WINDOW words or longer
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     new = F.col("s") - 1 > F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) - WINDOW, F.lit(-2))
