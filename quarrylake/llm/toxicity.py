@@ -9,10 +9,10 @@ cover every word. A document is as toxic as its most toxic window. The activatio
 are softsigns, x / (1 + |x|), which cost a sixth of the exponential ones.
 
 The network is trained in numpy on at most ``SAMPLE`` labelled documents that are
-not toxic and that are (the least by a hash of the id) with at most
-``TRAIN_WINDOWS`` windows of each. Labels are of documents, so a toxic document's windows are weighed by their
-own scores: those that look toxic learn to be so. A fifth of the sample is held
-out, and the threshold is chosen on it.
+not toxic and that are (the least by a hash of the id), with all windows of each.
+Labels are of documents, so a toxic document's windows are weighed by their own
+scores: those that look toxic learn to be so. A fifth of the sample is held out, and
+the threshold is chosen on it.
 
 Result of the query: the documents that reach the threshold, with doc_id,
 n_windows, toxic_windows and score (the highest of a window, 4 digits).
@@ -43,7 +43,6 @@ WIDTH = 8
 WORDS = 1 << 16
 TRIGRAMS = 1 << 14
 SAMPLE = (3000, 1000)
-TRAIN_WINDOWS = 32
 EPOCHS = 5
 MIN_DOCS = 3
 BATCH = 2048
@@ -217,12 +216,6 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     rng, net = np.random.default_rng(seed), Net.fresh(seed)
     w = K.words(pa.array(texts, pa.large_string()))
     row, start, size = windows(w.counts, w.ptr)
-    # of long documents, so many windows
-    by = np.lexsort((rng.random(len(row)), row))
-    rank = np.empty(len(row), np.int64)
-    rank[by] = K.spread(np.bincount(row, minlength=len(texts)))[1]
-    some = rank < TRAIN_WINDOWS
-    row, start, size = row[some], start[some], size[some]
     vocab = Vocabulary.of(w)
     # words and trigrams of fewer documents would only be remembered
     n_words = max(1, len(vocab.bucket))
