@@ -30,7 +30,6 @@ from .common import stored
 
 BUCKETS = 8
 BUDGET = 16384
-MAX_HISTOGRAM = 1 << 18
 RUN = 1 << 14
 
 
@@ -84,14 +83,9 @@ def token_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", tokeni
 
 
 def bucket_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """The bounds for n_tokens. More than MAX_HISTOGRAM different lengths are rounded up to multiples, so that what reaches the driver is bounded."""
-    grain = 1
-    while True:
-        up = (F.ceil(F.col("n_tokens") / grain) * grain).cast("bigint")
-        rows = lengths.groupBy(up.alias("n_tokens")).agg(F.count("*").alias("n")).limit(MAX_HISTOGRAM + 1).toPandas().sort_values("n_tokens")
-        if len(rows) <= MAX_HISTOGRAM:
-            return bounds(rows.n_tokens.to_numpy(np.int64), rows.n.to_numpy(np.int64), buckets)
-        grain *= 2
+    """The bounds for n_tokens. What reaches the driver is a number pair for each different length; n different ones take n * n / 2 tokens, so it grows with the root of the corpus at most."""
+    rows = lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    return bounds(rows.column("n_tokens").to_numpy(), rows.column("n").to_numpy(), buckets)
 
 
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str | None = None) -> DataFrame:
