@@ -31,7 +31,7 @@ from .common import fresh, with_fields
 
 MIN_WORDS = 5
 MAX_FRACTION = 0.6
-FREE_WORDS = 30
+FREE_WORDS = 20
 MAX_LONGEST_FRACTION = 0.25
 
 

@@ -98,7 +98,7 @@ def repeats(text: str | None, n: int = 5) -> tuple[int, int, int]:
 def unrepetitive(docs: list[tuple]) -> list[tuple]:
     def ok(t):
         n, c, m = repeats(t)
-        return c <= max(30, 0.6 * n) and m <= max(30, 0.25 * n)
+        return c <= max(20, 0.6 * n) and m <= max(20, 0.25 * n)
 
     return [(d, t) for d, t in docs if ok(t)]
 
