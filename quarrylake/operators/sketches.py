@@ -56,6 +56,14 @@ def optimal_bands(threshold: float, hashes: int, cosine: bool = False) -> tuple[
     return out
 
 
+def recalling_bands(threshold: float, hashes: int, recall: float = 0.95) -> tuple[int, int]:
+    """(k, l) with the longest bands that find a pair at the threshold with this probability, and as many as fit: no more pairs are found than that takes."""
+    for k in range(hashes, 0, -1):
+        if 1 - (1 - threshold**k) ** (hashes // k) >= recall:
+            return k, hashes // k
+    return 1, hashes
+
+
 def bands(sketch: DataFrame, k: int, l: int) -> DataFrame:
     """A row for each band, with its hashes."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(l - 1)), lambda i: F.slice("sig", i * k + 1, k))

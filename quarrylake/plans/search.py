@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import align as A
@@ -67,16 +67,28 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.greedy(pairs, order=F.struct(-F.col("minus"), -F.col("plus"), -F.col("raw")), score="pct")
 
 
+def c_percentiles(scores: DataFrame, bins: int = BINS) -> DataFrame:
+    """The percentile of each table pair's c-unionability among all pairs' of that c, with those of the score a little less and more; scores: qt, ct, c, score."""
+    return C.with_percentile(scores.select("qt", "ct", "c", "score"), C.equi_depth(scores, bins, ["c"]), ["c"])
+
+
+def ranked_tables(percentiles: DataFrame, n: int = TOP) -> DataFrame:
+    """The n best tables for each table. Of a pair's numbers of columns c the one with the highest upper percentile counts, the largest of equal ones; pairs whose percentile there is 0 go; the best have the highest lower percentile, then the highest upper one, then the first name."""
+    best = percentiles.groupBy("qt", "ct").agg(F.max(F.struct("plus", "c", "minus", "pct", "score")).alias("b")).select("qt", "ct", "b.*").filter("pct > 0")
+    rank = F.row_number().over(Window.partitionBy("qt").orderBy(F.desc("minus"), F.desc("plus"), "ct"))
+    return best.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= n).select("qt", "ct", "c", "score", "minus", "pct", "plus", "rank")
+
+
 def top_tables(spark: SparkSession, sf_dir: str, n: int = TOP) -> DataFrame:
-    """The n best tables for each table: rank, the best number of columns c, and the product of their percentiles."""
-    scores = A.c_unionability(aligned(spark, sf_dir), score="pct")
-    return A.top_n(A.best_c(scores), n).select("qt", "ct", "c", "score", "rank")
+    """The n best tables for each table, over columns aligned by the ensemble of measures."""
+    scores = stored(A.c_unionability(aligned(spark, sf_dir), score="pct"), "c-scores")
+    return ranked_tables(c_percentiles(scores), n)
 
 
 def lsh_tables(domains: DataFrame, threshold: float = 0.5, n: int = TOP, hashes: int = S.HASHES) -> DataFrame:
     """The same by sketches alone, for a lake of any size: candidates by a band join, scored by estimated Jaccard, aligned and ranked."""
     sketch = stored(S.signatures(domains, hashes), "signatures")
-    k, l = S.optimal_bands(threshold, hashes)
+    k, l = S.recalling_bands(threshold, hashes)
     pairs = S.candidates(sketch, k, l)
     q, c = (sketch.select(F.col("t").alias(f"{s}t"), F.col("c").alias(f"{s}c"), F.col("sig").alias(f"{s}s")) for s in ("q", "c"))
     scored = pairs.join(q, ["qt", "qc"]).join(c, ["ct", "cc"]).select(*M.PAIR, F.round(S.estimated_jaccard(F.col("qs"), F.col("cs")), 6).alias("score"))

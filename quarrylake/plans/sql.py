@@ -114,8 +114,11 @@ CTE: dict[str, str] = {
     "ens_pos": "select * from ens where pct > 0",
     **greedy("al", "ens_pos", "minus desc, plus desc, raw desc", "pct"),
     **c_scores("cs", "al", "pct"),
-    "bestc": "select qt, ct, c, score from cs qualify row_number() over (partition by qt, ct order by score desc, c desc) = 1",
-    "topn": "select *, row_number() over (partition by qt order by score desc, ct) rank from bestc qualify rank <= 10",
+    "ccs": "select c::varchar measure, qt, ct, c, score from cs",
+    **equi_depth("ccdf", "ccs", 20),
+    "cpct": f"select *, {percentile('round(score, 4)', 'ccdf')} pct, {percentile('round(round(score, 4) + 0.1, 4)', 'ccdf')} plus, {percentile('round(greatest(round(score, 4) - 0.1, 0.0), 4)', 'ccdf')} minus from ccs m",
+    "bestc": "select * from cpct qualify row_number() over (partition by qt, ct order by plus desc, c desc) = 1",
+    "topn": "select qt, ct, c, score, minus, pct, plus, row_number() over (partition by qt order by minus desc, plus desc, ct) rank from bestc where pct > 0 qualify rank <= 10",
     **greedy("jal", "jac"),
     **c_scores("jcs", "jal"),
     "keys": "select distinct t, c, string_split(t, '____')[1] base from sdom",

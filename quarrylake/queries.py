@@ -436,9 +436,14 @@ def cdf_equidepth(s, d):
     return C.equi_depth(P.measures(s, d), P.BINS)
 
 
-@register("cdf_equidepth_per_c", "select * from ccdf", ccs="select c::varchar measure, score from cs", **Q.equi_depth("ccdf", "ccs", 10))
+@register("cdf_equidepth_per_c", "select measure::bigint c, bin, lower, upper, n, acc, pct from ccdf")
 def cdf_equidepth_per_c(s, d):
-    return C.equi_depth(A.c_unionability(P.aligned(s, d), score="pct").select(F.col("c").cast("string").alias("measure"), "score"), 10)
+    return C.equi_depth(A.c_unionability(P.aligned(s, d), score="pct"), P.BINS, ["c"])
+
+
+@register("c_percentiles", "select qt, ct, c, score, minus, pct, plus from cpct")
+def c_percentiles(s, d):
+    return P.c_percentiles(A.c_unionability(P.aligned(s, d), score="pct"))
 
 
 @register("cdf_equiwidth", "select measure, bin, n, sum(n) over (partition by measure order by bin)::bigint acc, round(sum(n) over (partition by measure order by bin) / sum(n) over (partition by measure)::double, 6) pct from (select measure, least(floor(score * 20), 19)::bigint bin, sum(n)::bigint n from (select measure, round(least(score, 1.0), 4) score, count(*) n from meas group by all) group by all)")
@@ -488,7 +493,7 @@ def pick_steepest_c(s, d):
     return A.steepest_c(c_unionability(s, d))
 
 
-@register("topn_unionable", "select qt, ct, c, score, rank from topn")
+@register("topn_unionable", "select * from topn")
 def topn_unionable(s, d):
     return P.top_tables(s, d)
 
