@@ -37,6 +37,25 @@ def same_domain_probability(jaccard: Column, n_a: Column, n_b: Column) -> Column
     return F.aggregate(F.sequence(F.lit(0).cast("bigint"), k), F.lit(0.0), lambda s, i: s + F.exp(ln_choose(n_a, i) + ln_choose(n_b, n_b - i) - every))
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector has neither NaN nor infinities nor nulls."""
+    return ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+
+
+def strict_domain_probability(jaccard: Column, n_a: Column, n_b: Column) -> Column:
+    """As same_domain_probability, of fewer shared values; 0 if the smaller is contained whole and sizes differ."""
+    total = n_a + n_b
+    k = F.least(F.floor(jaccard * total / (1 + jaccard)), n_a, n_b).cast("bigint")
+    every = ln_choose(total, n_b)
+    terms = F.when(k > 0, F.sequence(F.lit(0).cast("bigint"), k - 1)).otherwise(F.array().cast("array<bigint>"))
+    below = F.aggregate(terms, F.lit(0.0), lambda s, i: s + F.exp(ln_choose(n_a, i) + ln_choose(n_b, n_b - i) - every))
+    return F.when((k == F.least(n_a, n_b)) & (n_a != n_b), 0.0).otherwise(below)
+
+
 def entropy(p: Column) -> Column:
     """A term of the entropy, to be summed."""
     return F.when(p > 0, -p * F.ln(p)).otherwise(0.0)

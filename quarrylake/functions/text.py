@@ -56,6 +56,27 @@ def tokens(v: Column, most: int | None = 5) -> Column:
     return out if most is None else F.when(F.size(parts) <= most, out)
 
 
+def web_transform(v: Column) -> Column:
+    """As normalised, without parentheses."""
+    return normalised(F.translate(v, "()", ""))
+
+
+def web_tokens(v: Column) -> Column:
+    """The parts of a value between underscores, each transformed; empty ones go."""
+    return F.filter(F.transform(F.split(v, "_"), web_transform), lambda w: F.length(w) > 0)
+
+
+def column_id(path: Column, index: Column) -> Column:
+    """A column's id: the file's name without folders and ending, and the column's place."""
+    return F.concat(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), F.lit("_c"), index.cast("string"))
+
+
+def parsed_column_id(id: Column) -> tuple[Column, Column]:
+    """Table and place of a column's id; null where it is none."""
+    t = F.regexp_extract(id, r"^(.*)_c(\d+)$", 1)
+    return F.nullif(t, F.lit("")), F.regexp_extract(id, r"^(.*)_c(\d+)$", 2).try_cast("bigint")
+
+
 def cell_entity(html: Column) -> Column:
     """The name behind the first link's last slash, or the empty string."""
     return F.coalesce(F.regexp_extract(html, r'<a href="[^"]*/([^"/]*)"', 1), F.lit(""))

@@ -62,6 +62,28 @@ def stitched(pairs: DataFrame) -> DataFrame:
     return greedy(best).withColumn("total", F.sum("score").over(Window.partitionBy("qt", "ct")))
 
 
+def size_cluster_scores(lengths: DataFrame) -> DataFrame:
+    """How far apart the columns' mean lengths of two tables lie, merged from both ends: m - 1 steps (m columns in the smaller table), each adding the larger of the gaps between one table's longest open column and the other's shortest, whose pointer moves on. lengths: t, c, len; a table's columns are one array."""
+    tables = lengths.groupBy("t").agg(F.array_sort(F.collect_list("len")).alias("l"))
+    both = tables.select(F.col("t").alias("qt"), F.col("l").alias("a")).join(tables.select(F.col("t").alias("ct"), F.col("l").alias("b")), F.col("qt") != F.col("ct"))
+    steps = F.least(F.size("a"), F.size("b")) - 1
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, _: Column) -> Column:
+        x = F.abs(F.get("a", F.size("a") - 1 - s["i"]) - F.get("b", s["j"]))
+        y = F.abs(F.get("b", F.size("b") - 1 - s["j"]) - F.get("a", s["i"]))
+        return F.when(x < y, F.struct(s["i"].alias("i"), (s["j"] + 1).alias("j"), (s["sum"] + y).alias("sum"))).otherwise(F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), (s["sum"] + x).alias("sum")))
+
+    walk = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["sum"])).otherwise(0.0)
+    return both.select("qt", "ct", F.round(walk, 6).alias("score"))
+
+
+def k_unionable(edges: DataFrame, k: int) -> DataFrame:
+    """Whether k columns of two tables can be matched (soft), and whether all columns of the query that have an edge are (hard): qt, ct, soft, hard."""
+    nodes = edges.groupBy("qt", "ct").agg(F.countDistinct("qc").alias("nodes"))
+    return matching(edges).join(nodes, ["qt", "ct"]).select("qt", "ct", (F.col("matched") >= k).alias("soft"), ((F.col("matched") >= k) & (F.col("matched") == F.col("nodes"))).alias("hard"))
+
+
 def matching(edges: DataFrame) -> DataFrame:
     """The size of the largest one-to-one matching of the columns of two tables: qt, ct, matched."""
     import pandas as pd

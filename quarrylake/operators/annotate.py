@@ -61,7 +61,7 @@ def closure(taxonomy: DataFrame) -> DataFrame:
     name = f"taxonomy_{id(taxonomy)}"
     parents(taxonomy).createOrReplaceTempView(name)
     # a path longer than the taxonomy has classes would run in a circle
-    return spark.sql(f"""with recursive up(sub, super, depth) as (select sub, super, 1 from {name} union all select u.sub, t.super, u.depth + 1 from up u join {name} t on t.sub = u.super where u.depth < 32)
+    return spark.sql(f"""with recursive up(sub, super, depth) as (select sub, super, 1 from {name} union all select u.sub, t.super, u.depth + 1 from up u join {name} t on t.sub = u.super where u.depth < (select count(distinct sub) from {name}))
         select sub, super, cast(min(depth) as bigint) depth from up group by sub, super""")
 
 

@@ -55,6 +55,23 @@ def equi_width(scores: DataFrame, bins: int, by: list[str] = ["measure"]) -> Dat
     return n.select(*by, "bin", "n", acc.alias("acc"), F.round(acc / every, 6).alias("pct"))
 
 
+def width_percentile(scores: DataFrame, cdf: DataFrame, bins: int, by: list[str] = ["measure"]) -> DataFrame:
+    """The percentile of each score by bins of equal width (a bin without scores has that of the last one below); 0 for scores that are not positive."""
+    at = F.least(F.floor(F.least(F.col("score"), F.lit(1.0)) * bins), F.lit(bins - 1))
+    table = cdf.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "pct"))).alias("_bins"))
+    hit = F.filter("_bins", lambda b: b["bin"] <= at)
+    pct = F.when((F.col("score") > 0) & (F.size(hit) > 0), F.element_at(hit, -1)["pct"]).otherwise(0.0)
+    return scores.join(F.broadcast(table), by).withColumn("pct", pct).drop("_bins")
+
+
+def tied_ensemble(percentiles: DataFrame, by: tuple[str, ...] = ("qt", "qc", "ct", "cc")) -> DataFrame:
+    """Of each pair the highest (minus, plus) and the names of all measures that have it, in the order nl, set, sem."""
+    order = F.when(F.col("measure") == "nl", 0).when(F.col("measure") == "set", 1).otherwise(2)
+    rows = percentiles.groupBy(*by).agg(F.max(F.struct("minus", "plus")).alias("b"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "measure", "minus", "plus"))).alias("r"))
+    ties = F.filter("r", lambda x: (x["minus"] == F.col("b.minus")) & (x["plus"] == F.col("b.plus")))
+    return rows.select(*by, F.col("b.minus").alias("minus"), F.col("b.plus").alias("plus"), F.array_join(F.transform(ties, lambda x: x["measure"]), "+").alias("measures"))
+
+
 def tables_of(cdf: DataFrame, by: list[str] = ["measure"]) -> DataFrame:
     """One row for each measure with its bins as a sorted array: as small as bins are, so it is broadcast."""
     return cdf.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("upper", "bin", "pct"))).alias("bins"))

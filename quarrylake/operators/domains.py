@@ -21,6 +21,16 @@ def domains(cells: DataFrame) -> DataFrame:
     return cells.filter(X.keep_value(F.col("v"))).select("t", "c", F.lower(X.trimmed(F.col("v"))).alias("v")).distinct()
 
 
+def words(domains: DataFrame) -> DataFrame:
+    """The different words of each domain's values."""
+    return domains.select("t", "c", F.explode(X.get_words(F.col("v"))).alias("v")).distinct()
+
+
+def tokens(domains: DataFrame) -> DataFrame:
+    """The different tokens of each domain's values of at most five."""
+    return domains.select("t", "c", F.explode(X.tokens(F.col("v"))).alias("v")).distinct()
+
+
 def value_freq(cells: DataFrame) -> DataFrame:
     return cells.filter(X.keep_value(F.col("v"))).groupBy("t", "c", F.lower(X.trimmed(F.col("v"))).alias("v")).agg(F.count("*").alias("freq"))
 

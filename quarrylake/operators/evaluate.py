@@ -29,6 +29,19 @@ def average_precision(results: DataFrame, truth: DataFrame) -> DataFrame:
     return hits.groupBy("qt").agg(F.round(F.avg(F.col("hits") / F.col("rank")), 6).alias("ap"), F.count("*").alias("n_correct"))
 
 
+def mean_average_precision(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """The mean of ap over all queries with a result; those without a correct one count 0."""
+    queries = results.select("qt").distinct()
+    own = queries.join(average_precision(results, truth), "qt", "left")
+    return own.agg(F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 6).alias("map"), F.count("*").alias("queries"))
+
+
+def header_precision(pairs: DataFrame) -> DataFrame:
+    """Of each query table the share of column pairs whose headers are alike, letter case aside (a candidate's name may have the wildcards of LIKE)."""
+    alike = F.expr("lower(qc) like lower(cc)").cast("bigint")
+    return pairs.groupBy("qt").agg(F.count("*").alias("n"), F.sum(alike).alias("correct"), F.round(F.avg(alike), 6).alias("precision"))
+
+
 def overall(pairs: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
     """Precision and recall of all different pairs."""
     found, true = pairs.select(*on).distinct(), truth.select(*on).distinct()

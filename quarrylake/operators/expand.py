@@ -30,6 +30,42 @@ def column_expansion(domains: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("qt", "qc", "ct", "cc").join(before, ["qt", "qc"]).join(new, ["qt", "qc", "ct", "cc"], "left").select("qt", "qc", "ct", "cc", "n_before", F.coalesce("added", F.lit(0)).alias("added"))
 
 
+def combined_expansion(domains: DataFrame, aligned: DataFrame, rows: DataFrame) -> DataFrame:
+    """Both expansions of a pair of tables at once: qt, ct, columns, added (values that the aligned columns add) and rows_added; rows: t, row (a row's text)."""
+    own = column_expansion(domains, aligned).groupBy("qt", "ct").agg(F.count("*").alias("columns"), F.sum("added").alias("added"))
+    q, c = rows.select(F.col("t").alias("qt"), "row").distinct(), rows.select(F.col("t").alias("ct"), "row").distinct()
+    new = own.select("qt", "ct").join(c, "ct").join(q, ["qt", "row"], "left_anti").groupBy("qt", "ct").agg(F.count("*").alias("rows_added"))
+    return own.join(new, ["qt", "ct"], "left").select("qt", "ct", "columns", "added", F.coalesce("rows_added", F.lit(0)).alias("rows_added"))
+
+
+def other_class_pairs(labels: DataFrame, id: str, label: str, most: int) -> DataFrame:
+    """So many unordered pairs of items with different labels: the negatives to same_class_pairs. Items are ordered by a hash, and pairs by their first and then their second item; an item has one label."""
+    items = labels.select(F.col(id).alias("_i"), F.col(label).alias("_l"), F.struct(hash32(F.col(id).cast("string")), F.col(id)).alias("_o"))
+    n, firsts = items.count(), 1 + most // max(1, labels.count() // 2)
+    while True:
+        # only the first items meet all others: as few of them as give enough pairs
+        a = items.orderBy("_o").limit(firsts).select(F.col("_i").alias("a"), F.col("_l").alias("_la"), F.col("_o").alias("_oa"))
+        b = items.select(F.col("_i").alias("b"), F.col("_l").alias("_lb"), F.col("_o").alias("_ob"))
+        pairs = b.join(F.broadcast(a), (F.col("_oa") < F.col("_ob")) & (F.col("_la") != F.col("_lb")))
+        if firsts >= n or pairs.limit(most).count() >= most:
+            return pairs.orderBy("_oa", "_ob").limit(most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        firsts *= 2
+
+
+def base_tables(profiles: DataFrame, most: int = 25, rows: int = 25_000, columns: int = 5, edits: int = 5) -> list[str]:
+    """Tables to make a benchmark from: of those with few enough rows and enough columns, the longest and widest first, each whose header is so many edits away from all chosen before. profiles: t, n_rows, header (array). A header is short and there are at most 100 candidates, so the choice is made on the driver."""
+    from ..functions.text import edit_steps
+
+    left = profiles.filter((F.col("n_rows") <= rows) & (F.size("header") >= columns)).orderBy(F.desc("n_rows"), F.desc(F.size("header")), "t").limit(100)
+    pairs = left.alias("x").join(left.alias("y"), F.col("x.t") != F.col("y.t")).select(F.col("x.t").alias("a"), F.col("y.t").alias("b"), edit_steps(F.col("x.header"), F.col("y.header")).alias("d"))
+    near = {(r.a, r.b) for r in pairs.filter(F.col("d") < edits).collect()}
+    chosen: list[str] = []
+    for r in left.select("t").collect():
+        if len(chosen) < most and not any((r.t, t) in near for t in chosen):
+            chosen.append(r.t)
+    return chosen
+
+
 def slices(base: DataFrame, columns: list[str], most: int = 5, rows: int = 100) -> DataFrame:
     """The different rows of the columns, dealt to min(most, max(rows / 100, 1)) slices by a hash: no sort, no single task."""
     picked = base.select(*(F.col(c).cast("string").alias(c) for c in columns)).distinct()

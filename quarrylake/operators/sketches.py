@@ -107,6 +107,29 @@ def simhash(vectors: DataFrame, id: str, vector: str, bits: int = 16, dims: int
     return slim.mapInArrow(run, "id bigint, bucket string").withColumnRenamed("id", id)
 
 
+def simhash_bands(vectors: DataFrame, id: str, vector: str, k: int, l: int, dims: int = 64) -> DataFrame:
+    """l bands of k bits of a vector's SimHash: id, band, head (its bits)."""
+    bits = simhash(vectors, id, vector, k * l, dims)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(l - 1)), lambda i: F.substring("bucket", i * k + 1, k))
+    return bits.select(id, F.posexplode(cut).alias("band", "head"))
+
+
+def cosine_candidates(vectors: DataFrame, id: str, vector: str, k: int = 20, l: int = 5, dims: int = 64) -> DataFrame:
+    """Pairs of vectors that agree in a whole band: an equi-join."""
+    b = simhash_bands(vectors, id, vector, k, l, dims)
+    return b.join(b.withColumnRenamed(id, "other"), ["band", "head"]).filter(F.col(id) != F.col("other")).select(id, "other").distinct()
+
+
+def cosine_forest(vectors: DataFrame, id: str, vector: str, k: int = 16, l: int = 8, least: int = 4, dims: int = 64) -> DataFrame:
+    """The longest prefix of a band in which two vectors agree, of those that agree in least bits: id, other, depth. The join is on these bits; pairs of lesser depth are left to the exact search."""
+    b = simhash_bands(vectors, id, vector, k, l, dims).withColumn("start", F.substring("head", 1, least))
+    c = b.select(F.col(id).alias("other"), "band", "start", F.col("head").alias("_h"))
+    depth = F.lit(least)
+    for n in range(least + 1, k + 1):
+        depth = F.when(F.substring("head", 1, n) == F.substring("_h", 1, n), n).otherwise(depth)
+    return b.join(c, ["band", "start"]).filter(F.col(id) != F.col("other")).groupBy(id, "other").agg(F.max(depth).cast("bigint").alias("depth"))
+
+
 def topk_cosine(vectors: DataFrame, id: str, vector: str, k: int = 5, dims: int = 64, block: int = 2048) -> DataFrame:
     """The k nearest others of every vector, exactly: vectors travel in packed blocks, and each pair of blocks is one matrix product."""
     spark = vectors.sparkSession

@@ -13,7 +13,7 @@ from ..operators import expand as E
 
 LAKE = {
     "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
-    "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type"], "documents": ["lang", "source"], "conversations": ["role"],
+    "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
 }
 #: Base tables and the columns that a family of slices has.
 FAMILIES = {
@@ -53,9 +53,10 @@ def truth(domains: DataFrame) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
-    """A vector for each word, from the table of embeddings by the word's hash."""
+    """A vector for each word, from the table of embeddings (its ids count from 0) by the word's hash."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vec"))
-    return words.select("word").distinct().withColumn("_id", X.hash32(F.col("word")) % 500).join(vectors, "_id").select("word", "vec")
+    n = vectors.agg(F.count("*").alias("_n"))
+    return words.select("word").distinct().crossJoin(F.broadcast(n)).withColumn("_id", X.hash32(F.col("word")) % F.col("_n")).join(vectors, "_id").select("word", "vec")
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from .lake import FAMILIES, LAKE
 
-VECTOR_WORDS = 500
+VECTOR_WORDS = "(select count(*) from embeddings)"
 
 
 def hash32(x: str, part: int = 0) -> str:
@@ -89,6 +89,7 @@ CTE: dict[str, str] = {
     "lake": " union all ".join(f"select '{t}' t, '{c}' c, {c}::varchar v from {t}" for t, cs in LAKE.items() for c in cs),
     "dom": f"select distinct t, c, lower({trimmed('v')}) v from lake where strlen({trimmed('v')}) > 2",
     "slices": _slices(),
+    "lwords": f"select distinct t, c, unnest({get_words('v')}) v from dom",
     "sdom": f"select distinct t, c, lower({trimmed('v')}) v from slices where strlen({trimmed('v')}) > 2",
     "sfreq": f"select t, c, lower({trimmed('v')}) v, count(*) freq from slices where strlen({trimmed('v')}) > 2 group by all",
     "jac": jaccards("sdom"),

@@ -149,9 +149,9 @@ def jaccard_exact(s, d):
     return M.jaccard(slice_domains(s, d))
 
 
-@register("lake_jaccard", Q.jaccards("dom"))
+@register("lake_jaccard", Q.jaccards("lwords"))
 def lake_jaccard(s, d):
-    return M.jaccard(D.domains(L.lake(s, d)))
+    return M.jaccard(D.words(D.domains(L.lake(s, d))))
 
 
 @register("containment_exact", "select a.t qt, a.c qc, b.t ct, b.c cc, round(count(*) / any_value(n)::double, 6) score from sdom a join sdom b on a.v = b.v and a.t <> b.t join (select t, c, count(*) n from sdom group by all) n1 on n1.t = a.t and n1.c = a.c group by a.t, a.c, b.t, b.c")
@@ -197,10 +197,10 @@ def lsh_forest_depth(s, d):
     return S.forest_depths(stored(signatures(s, d), "signatures"), _K, _L)
 
 
-@register("novelty_filter", "select j.qt, j.qc, j.ct, j.cc from jac j anti join (select a.t qt, a.c qc, b.t ct, b.c cc from bands a join bands b on a.band = b.band and a.h = b.h and a.t <> b.t) l using (qt, qc, ct, cc)", sig=_signature("sdom"), bands=_BANDS)
+@register("novelty_filter", "select j.qt, j.qc, j.ct, j.cc from wjac j anti join (select a.t qt, a.c qc, b.t ct, b.c cc from bands a join bands b on a.band = b.band and a.h = b.h and a.t <> b.t) l using (qt, qc, ct, cc)", wjac=Q.jaccards("lwords"), sig=_signature("lwords"), bands=_BANDS)
 def novelty_filter(s, d):
-    dom = slice_domains(s, d)
-    return M.jaccard(dom).join(S.candidates(S.signatures(dom, HASHES), _K, _L), list(M.PAIR), "left_anti").select(*M.PAIR)
+    words = stored(D.words(D.domains(L.lake(s, d))), "words")
+    return M.jaccard(words).join(S.candidates(S.signatures(words, HASHES), _K, _L), list(M.PAIR), "left_anti").select(*M.PAIR)
 
 
 @register("lsh_search")
@@ -230,9 +230,7 @@ for _name, _col in (("embedding_sum", "total"), ("embedding_mean", "mean"), ("em
 
 @register("embedding_covariance", "select a.label, a.i, b.i j, round(covar_pop(a.x, b.x), 6) + 0.0 cov from (select vec_id, label, i - 1 i, embedding[i]::double x from embeddings, unnest(range(1, 65)) u(i)) a join (select vec_id, i - 1 i, embedding[i]::double x from embeddings, unnest(range(1, 65)) u(i)) b on a.vec_id = b.vec_id and a.i <= b.i group by all")
 def embedding_covariance(s, d):
-    v = L.table(s, d, "embeddings").select("label", "embedding")
-    sums = v.select("label", "embedding", F.posexplode("embedding").alias("i", "x")).select("label", "i", F.col("x").cast("double").alias("x"), F.posexplode("embedding").alias("j", "y")).filter("i <= j")
-    return sums.groupBy("label", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).agg((r6(F.covar_pop("x", F.col("y").cast("double"))) + 0.0).alias("cov"))
+    return M.covariances(M.moments(L.table(s, d, "embeddings"), "label", "embedding", 64), "label")
 
 
 def groups(s, d):
@@ -286,19 +284,13 @@ def nl_unionability(s, d):
 
 @register("pca_components")
 def pca_components(s, d):
-    """The two leading components of each label's vectors, from the covariance that Spark sums."""
-    import numpy as np
-    import pandas as pd
-
-    def leading(g: pd.DataFrame) -> pd.DataFrame:
-        n = int(g.j.max()) + 1
-        m = np.zeros((n, n))
-        m[g.i, g.j] = m[g.j, g.i] = g["cov"]
-        w, v = np.linalg.eigh(m)
-        v = v[:, ::-1][:, :2] * np.sign(v[:, ::-1][:, :2][np.abs(v[:, ::-1][:, :2]).argmax(axis=0), [0, 1]])
-        return pd.DataFrame({"label": g.label.iat[0], "k": np.repeat([0, 1], n), "i": np.tile(np.arange(n), 2), "x": np.round(v.T.ravel(), 4), "share": np.round(np.repeat(w[::-1][:2] / w.sum(), n), 6)})
-
-    return embedding_covariance(s, d).groupBy("label").applyInPandas(leading, "label int, k bigint, i bigint, x double, share double")
+    """The two leading components of each label's vectors."""
+    return M.components(M.moments(L.table(s, d, "embeddings"), "label", "embedding", 64), "label", 2)
+
+
+@register("biased_pca_components")
+def biased_pca_components(s, d):
+    return M.components(M.moments(L.table(s, d, "embeddings"), "label", "embedding", 64), "label", 2, biased=True)
 
 
 # Ontology
