@@ -31,7 +31,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.all_pairs(table(spark, sf_dir, "documents"))
+    return ngramjoin.links(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": "select page_id, url, html from pages", "op5_substrings": substrings.spans_sql(), "op6_ngram_join": ngramjoin.pairs_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
+    return {"op1_warc": "select page_id, url, html from pages", "op5_substrings": substrings.spans_sql(), "op6_ngram_join": ngramjoin.links_sql(), "op8_packing": packing.pack_sql(), "op10_repetition": _repetition_sql()}
