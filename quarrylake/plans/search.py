@@ -12,15 +12,19 @@ from ..operators import domains as D
 from ..operators import measures as M
 from ..operators import sketches as S
 from . import lake as L
-from .store import stored
+from .store import kept, stored
 
 BINS = 20
 TOP = 10
 
 
+#: The tables that the slices, their classes and their vectors come from.
+BASES = ("part", "customer", "orders", "nation", "region", "embeddings")
+
+
 def slice_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value frequencies of all slices, written once: every measure begins with them."""
-    return stored(D.value_freq(L.slice_cells(spark, sf_dir)), "freq")
+    return kept(spark, sf_dir, "freq", BASES, lambda: D.value_freq(L.slice_cells(spark, sf_dir)))
 
 
 def class_domains(spark: SparkSession, sf_dir: str, domains: DataFrame) -> DataFrame:
@@ -49,11 +53,15 @@ def mean_vectors(embedded: DataFrame) -> DataFrame:
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of all column pairs of the slices: qt, qc, ct, cc, measure, score."""
-    freq = slice_freq(spark, sf_dir)
-    dom = freq.select("t", "c", "v")
-    sets, sems = M.jaccard(dom), M.jaccard(stored(class_domains(spark, sf_dir, dom), "classes"))
-    nls = M.mean_cosine(stored(mean_vectors(embedded_values(spark, sf_dir, freq)), "means"))
-    return stored(M.all_measures(sets, sems, nls), "measures")
+
+    def build() -> DataFrame:
+        freq = slice_freq(spark, sf_dir)
+        dom = freq.select("t", "c", "v")
+        sems = M.jaccard(stored(class_domains(spark, sf_dir, dom), "classes"))
+        nls = M.mean_cosine(kept(spark, sf_dir, "means", BASES, lambda: mean_vectors(embedded_values(spark, sf_dir, freq))))
+        return M.all_measures(M.jaccard(dom), sems, nls)
+
+    return kept(spark, sf_dir, "measures", BASES, build)
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

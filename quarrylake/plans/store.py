@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +26,29 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def stamp(sf_dir: str, tables: tuple[str, ...]) -> tuple:
+    """Name, size and time of each file of the tables."""
+    root = re.sub("^file:/+", "file:///", sf_dir) if ":" in sf_dir.split("/")[0] else "file://" + posixpath.abspath(sf_dir)
+    fs, base = pafs.FileSystem.from_uri(root)
+    out = []
+    for t in tables:
+        own = fs.get_file_info(f"{base}/{t}.parquet")
+        files = [own] if own.is_file else fs.get_file_info(pafs.FileSelector(own.path, recursive=True, allow_not_found=True))
+        out += sorted((x.path, x.size, x.mtime_ns) for x in files)
+    return tuple(out)
+
+
+def kept(spark: SparkSession, sf_dir: str, what: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """What build gives, stored once for a session and these files of the tables, so that all searches over them share it."""
+    key = (spark.sparkContext.applicationId, what, stamp(sf_dir, tables))
+    if key not in _KEPT:
+        _KEPT[key] = stored(build(), what)
+    return _KEPT[key]
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet and read again: what several branches of a plan need is computed once, and outlives executors."""
     path = shared_dir(df.sparkSession, what)

@@ -21,7 +21,7 @@ from .operators import webtables as W
 from .plans import lake as L
 from .plans import search as P
 from .plans import sql as Q
-from .plans.store import stored
+from .plans.store import kept, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,8 @@ def slice_domains(s: SparkSession, d: str) -> DataFrame:
 
 
 def matches(s: SparkSession, d: str, dom: DataFrame) -> DataFrame:
-    return stored(O.find_entities(dom.select("v").distinct(), O.inverted_index(L.types(s, d))), "matches")
+    """The entities of the slices' values."""
+    return kept(s, d, "matches", P.BASES, lambda: O.find_entities(dom.select("v").distinct(), O.inverted_index(L.types(s, d))))
 
 
 # Domains

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from quarrylake import queries as Q
-from quarrylake import queries_search  # noqa: F401
+from quarrylake import queries_io, queries_search  # noqa: F401
 from tools.compare import rows
 
 SF = Path("/root/testdata/sf0.001")
