@@ -141,7 +141,7 @@ def sampled(df: DataFrame, rows: int, seed: int = 0) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str, kind: str = ">f8") -> DataFrame:
-    """t (the file's name), v of files that hold big-endian numbers and nothing else: vectors (>f8) or signatures (>u8, as signed numbers)."""
+    """t (the file's name), v of files that hold big-endian numbers and nothing else: vectors (>f8) or signatures (>u8, as signed numbers). An empty file has no row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("t"), "content")
     floats = kind.endswith("f8")
 

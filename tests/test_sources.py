@@ -1,4 +1,8 @@
 import json
+import sqlite3
+
+import numpy as np
+import pytest
 
 from quarrylake.sources import readers as R
 from quarrylake.sources import writers as W
@@ -38,9 +42,10 @@ def test_xml_and_ontology(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    df = spark.createDataFrame([("a", "c", "k", 3)], "t string, c string, class string, freq int")
+    df = spark.createDataFrame([("a", 0, "c", "k", 3, 5), ("a", 1, "d", None, None, None)], "t string, col_idx int, c string, class string, freq int, n_entities int")
     for _ in range(2):
-        assert W.save(df, str(tmp_path), "annotations").count() == 1
+        got = W.save(df, str(tmp_path), "annotations")
+        assert sorted(tuple(r) for r in got.collect()) == [("a", 0, "c", "k", 3, 5), ("a", 1, "d", "-1", 0, 0)]
     d = spark.createDataFrame([("a", "c", "v"), ("b", "c", "w")], "t string, c string, v string")
     W.save_domains(d, str(tmp_path), 4)
     assert W.load_domains(spark, str(tmp_path)).count() == 2
@@ -57,3 +62,35 @@ def test_ingest(spark, tmp_path):
     I.ingest(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", 8).awaitTermination()
     got = I.sketches(spark, f"{tmp_path}/out").collect()
     assert {(r.t, len(r.sig), r.card) for r in got} == {("a", 8, 2), ("c", 8, 2)}
+
+
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffa,b\n1,2\n3\n")
+    (tmp_path / "b.csv").write_text('c,d,e\n7,8,9,10\n"x\ny",,\n')
+    (tmp_path / "empty.csv").write_text("")
+    got = {(r.t, r.c, r.col_idx, r.row): r.v for r in R.csv_cells(spark, str(tmp_path)).collect()}
+    assert got == {("a", "a", 0, 0): "1", ("a", "b", 1, 0): "2", ("a", "a", 0, 1): "3", ("a", "b", 1, 1): None, ("b", "c", 0, 0): "7", ("b", "d", 1, 0): "8", ("b", "e", 2, 0): "9", ("b", "c", 0, 1): "x\ny", ("b", "d", 1, 1): None, ("b", "e", 2, 1): None}
+    numeric = {(r.t, r.c): r.is_numeric for r in R.numeric_columns(R.csv_cells(spark, str(tmp_path))).collect()}
+    assert numeric["a", "a"] and numeric["b", "c"] and numeric["b", "e"]
+    with pytest.raises(Exception, match="no rows in"):
+        R.csv_cells(spark, f"{tmp_path}/a.csv", skip_rows=2).collect()
+
+
+def test_sqlite_and_vectors(spark, tmp_path):
+    for k in range(2):
+        with sqlite3.connect(tmp_path / f"{k}.db") as db:
+            db.execute("create table s (t text, n int, x real)")
+            db.executemany("insert into s values (?, ?, ?)", [("a", k, 0.5), (None, None, None)])
+    got = R.sqlite_rows(spark, [f"{tmp_path}/{k}.db" for k in range(2)], "select t, n, x from s", "t string, n bigint, x double").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", 0, 0.5), ("a", 1, 0.5), (None, None, None), (None, None, None)]))
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/one").write_bytes(np.array([1.5, -2.0]).astype(">f8").tobytes())
+    (tmp_path / "v/none").write_bytes(b"")
+    assert {r.t: list(r.v) for r in R.vectors(spark, f"{tmp_path}/v").collect()} == {"one": [1.5, -2.0]}  # an empty file has no row
+    (tmp_path / "v/one").write_bytes(np.array([7, 2**64 - 1], np.uint64).astype(">u8").tobytes())
+    assert {r.t: list(r.v) for r in R.vectors(spark, f"{tmp_path}/v", ">u8").collect()}["one"] == [7, -1]
+
+
+def test_xml_cells(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<tableAnnotations><columnAnnotations><colAnnos col="1"><anno name="city" value="1"/></colAnnos></columnAnnotations><cellAnnotatoons><row><entity>x</entity><entity>Rome</entity></row><row><entity>y</entity><entity>Oslo</entity></row></cellAnnotatoons></tableAnnotations>')
+    assert sorted((r.col, r.name, r.row, r.entity) for r in R.xml_column_entities(spark, f"{tmp_path}/a.xml").collect()) == [(1, "city", 0, "Rome"), (1, "city", 1, "Oslo")]
