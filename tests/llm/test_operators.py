@@ -378,6 +378,31 @@ def test_pii(spark):
     assert {r.doc_id for r in got} & {*range(30), 305} == set()
 
 
+def test_pii_finds_what_was_put_in(spark):
+    """Spans of what is put into texts at known places; null ids, repeated rows and a long text."""
+    r = random.Random(15)
+    make = {
+        "email": lambda: f"{r.choice('abc')}{r.randrange(10**6)}.x@host{r.randrange(99)}.example.org",
+        "ip": lambda: ".".join(str(r.randrange(1, 256)) for _ in range(4)),
+        "secret": lambda: "token=" + "".join(r.choice("abcdef0123456789") for _ in range(300)) + "a1",
+        "phone": lambda: f"+1 ({r.randrange(200, 999)}) {r.randrange(200, 999)}-{r.randrange(1000, 9999)}",
+    }
+    docs, want = [], []
+    for d in [*range(12), None, None]:
+        text = ""
+        for _ in range(6):
+            kind = r.choice(list(make))
+            text += prose(r, 2000 if d == 3 else 4, 50).replace("w", "word ").replace("1", "one").translate(str.maketrans("023456789", "abcdefghi")) + " "
+            value = make[kind]()
+            want.append((d, kind, len(text), len(text) + len(value)))
+            text += value + " "
+        docs.append((d, text))
+    docs.append(docs[5])
+    want += [x for x in want if x[0] == 5]
+    got = [(x.doc_id, x.kind, x.start, x.end) for x in pii.identifiers(frame(spark, docs)).collect() if x.seed]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pii_candidates_are_whole():
     jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
     found = lambda t: [(kind, value) for _, _, kind, value, *_ in pii.candidates(t)]
@@ -626,6 +651,86 @@ def test_toxicity_held_out(spark):
     assert all(0 < x.toxic_windows <= x.n_windows for x in got.values())
 
 
+def toxic_docs(r, n):
+    bad = ["vile", "rotten", "filthy"]
+    out = []
+    for i in range(n):
+        w = prose(r, r.randrange(20, 150), 300).split()
+        for _ in range(3 * (i % 4 == 0)):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        out.append((i, " ".join(w)))
+    return out
+
+
+def plain_window_scores(net, text):
+    """A text's windows one by one, word by word."""
+    words, H, W = brute.words(text), toxicity.HIDDEN, toxicity.WINDOW
+    soft = lambda x: x / (1 + np.abs(x))
+    inputs = [toxicity.Vocabulary.of(K.words(pa.array([w]))).inputs(net)[0] for w in words]
+    starts = [0]
+    while starts[-1] + W < len(words):
+        starts.append(starts[-1] + toxicity.STRIDE)
+    out = []
+    for s in starts if words else []:
+        x = inputs[s : s + W]
+        both = np.zeros((len(x), 2))
+        for d, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+            h = np.zeros(H)
+            for t in order:
+                a, g = x[t] @ net.w[d] + net.b[d], h @ net.u[d]
+                z, q = (0.5 + 0.5 * soft(a[i * H : i * H + H] + g[i * H : i * H + H]) for i in (0, 1))
+                h = (1 - z) * soft(a[2 * H :] + q * g[2 * H :]) + z * h
+                both[t] += h @ net.head[d]
+        a = np.exp(both[:, 0] - both[:, 0].max())
+        out.append(1 / (1 + np.exp(-((a / a.sum() * both[:, 1]).sum() + net.bias[0]))))
+    return out
+
+
+def test_toxicity_query_against_plain(spark, monkeypatch):
+    """A trained network over odd rows: null ids, repeated rows, a long text, clashing columns."""
+    r = random.Random(13)
+    docs = toxic_docs(r, 160)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs] + [(0, 0), (None, 1), (999, 1), (3, None)], "doc_id bigint, toxic int")
+    nets, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: nets.append(train(*a)) or nets[-1])
+    long = prose(r, 1500, 300) + " vile rotten filthy vile " + prose(r, 100, 300)
+    docs += [(None, docs[0][1]), (None, docs[1][1]), docs[4], docs[4], (500, long), (501, None), (502, ""), (503, "vile"), (504, "fine")]
+    got = sorted(((x.doc_id, x.n_windows, x.toxic_windows, x.score) for x in toxicity.toxic_documents(frame(spark, docs), labels).collect()), key=str)
+    net, want = nets[0], []
+    for d, t in docs:
+        scores = plain_window_scores(net, t)
+        assert all(abs(x - net.threshold) > 1e-4 for x in scores)
+        if scores and max(scores) >= net.threshold:
+            want.append((d, len(scores), sum(x >= net.threshold for x in scores), max(scores)))
+    want.sort(key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-4 for a, b in zip(got, want))
+    assert {None, 4, 500} <= {x[0] for x in got} and sum(x[0] == 4 for x in got) == 3 and not {501, 502} & {x[0] for x in got}
+
+
+def test_quality_query_against_plain(spark, monkeypatch):
+    r = random.Random(14)
+    junk = lambda t: " ".join(x.upper() + "!!" for x in t.split())
+    docs = [(i, prose(r, r.randrange(10, 300)) if i % 3 else junk(prose(r, r.randrange(10, 300)))) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in docs] + [(None, 0), (999, 1), (2, None)], "doc_id bigint, quality int")
+    models, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda *a: models.append(train(*a)) or models[-1])
+    docs += [(None, docs[1][1]), docs[4], docs[4], (500, prose(r, 5000)), (501, None), (502, "..."), (503, "word")]
+    got = sorted(((x.doc_id, x.n_passages, x.top_passage, x.score) for x in quality.good_documents(frame(spark, docs), labels).collect()), key=str)
+    m, want = models[0], []
+    for d, t in docs:
+        x = quality.describe(K.words(pa.array([t], pa.string())))[1]
+        if len(x):
+            h = [np.tanh((v - m.mean) / m.scale @ m.p["W"] + m.p["b"]) for v in x]
+            s = np.array([float(m.p["w"] @ (np.tanh(v @ m.p["V"]) / (1 + np.exp(-(v @ m.p["U"]))))) for v in h])
+            a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            score = 1 / (1 + np.exp(-(sum(w * v for w, v in zip(a, h)) @ m.p["c"] + m.p["d"][0])))
+            if score >= m.threshold:
+                want.append((d, len(x), int(np.argmax(np.round(a, 9))), score))
+    want.sort(key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-4 for a, b in zip(got, want))
+    assert {None, 4} <= {x[0] for x in got} and not {501, 502} & {x[0] for x in got}
+
+
 def test_quality_model_against_plain():
     r = np.random.default_rng(1)
     m = quality.Model.fresh(r.standard_normal((50, quality.WIDTH)))
