@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 
 def judged(results: DataFrame, truth: DataFrame) -> DataFrame:
     """Results with correct: 0 or 1."""
-    return results.join(truth.select("qt", "ct").distinct().withColumn("_y", F.lit(1)), ["qt", "ct"], "left").withColumn("correct", F.coalesce("_y", F.lit(0)).cast("bigint")).drop("_y")
+    (y,) = fresh(results, "_right")
+    return results.join(truth.select("qt", "ct").distinct().withColumn(y, F.lit(1)), ["qt", "ct"], "left").withColumn("correct", F.coalesce(y, F.lit(0)).cast("bigint")).drop(y)
 
 
 def at_n(results: DataFrame, truth: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import hash32
 
 
@@ -15,10 +16,11 @@ def union_append(query: DataFrame, candidate: DataFrame, matches: dict[str, str]
 
 
 def row_expansion(query: DataFrame, candidate: DataFrame, matches: dict[str, str]) -> DataFrame:
-    """Different rows of the query before and after the union."""
-    both = query.withColumn("_q", F.lit(1)).unionAll(union_append(query.limit(0), candidate, matches).withColumn("_q", F.lit(0)))
-    rows = both.groupBy(*query.columns).agg(F.max("_q").alias("_q"))
-    return rows.agg(F.coalesce(F.sum("_q"), F.lit(0)).alias("rows_before"), F.count("*").alias("rows_after"))
+    """Different rows of the query before and after the union; nulls are equal, and empty tables have no rows."""
+    (own,) = fresh(query, "_own")
+    both = query.withColumn(own, F.lit(1)).unionAll(union_append(query.limit(0), candidate, matches).withColumn(own, F.lit(0)))
+    rows = both.groupBy(*(F.col(f"`{c}`") for c in query.columns)).agg(F.max(own).alias(own))
+    return rows.agg(F.coalesce(F.sum(own), F.lit(0)).alias("rows_before"), F.count("*").alias("rows_after"))
 
 
 def column_expansion(domains: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,8 +71,9 @@ def base_tables(profiles: DataFrame, most: int = 25, rows: int = 25_000, columns
 def slices(base: DataFrame, columns: list[str], most: int = 5, rows: int = 100) -> DataFrame:
     """The different rows of the columns, dealt to min(most, max(rows / 100, 1)) slices by a hash: no sort, no single task."""
     picked = base.select(*(F.col(c).cast("string").alias(c) for c in columns)).distinct()
-    n = picked.agg(F.least(F.lit(most), F.greatest(F.floor(F.count("*") / rows), F.lit(1))).alias("_n"))
-    return picked.crossJoin(F.broadcast(n)).withColumn("j", hash32(F.concat_ws("|", *columns)) % F.col("_n")).drop("_n")
+    (n,) = fresh(picked, "_slices")
+    count = picked.agg(F.least(F.lit(most), F.greatest(F.floor(F.count("*") / rows), F.lit(1))).alias(n))
+    return picked.crossJoin(F.broadcast(count)).withColumn("j", hash32(F.concat_ws("|", *columns)) % F.col(n)).drop(n)
 
 
 def stratified(df: DataFrame, stratum: str, key: Column, share: float) -> DataFrame:
@@ -78,7 +81,8 @@ def stratified(df: DataFrame, stratum: str, key: Column, share: float) -> DataFr
     h = hash32(key.cast("string"))
     w = Window.partitionBy(stratum)
     # the rank is counted per stratum, of the hash and key alone
-    return df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(h, key))).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n", "_r")
+    n, r = fresh(df, "_rows", "_rank")
+    return df.withColumn(n, F.count("*").over(w)).withColumn(r, F.row_number().over(w.orderBy(h, key))).filter(F.col(r) <= F.greatest(F.lit(1), F.floor(F.col(n) * share))).drop(n, r)
 
 
 def same_class_pairs(labels: DataFrame, id: str, label: str) -> DataFrame:

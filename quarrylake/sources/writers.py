@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 _PAIR = ["qt", "qc", "ct", "cc"]
 #: The columns of each result table.
 TABLES = {
@@ -72,4 +74,5 @@ def save_json(df: DataFrame, path: str) -> None:
 def latest(judgements: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key: what an upsert would leave."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return judgements.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    (r,) = fresh(judgements, "_rank")
+    return judgements.withColumn(r, F.row_number().over(w)).filter(F.col(r) == 1).drop(r)

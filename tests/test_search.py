@@ -113,3 +113,10 @@ def test_odd_domains(spark, rows):
     assert D.words(dom).count() >= 0 and D.tokens(dom).filter(F.col("v").isNull()).count() == 0
     assert S.signatures(dom, 8).count() == len({(t, c) for t, c, v in rows if v})
     assert A.top_n(A.completed(M.jaccard(dom), 1, 5).select("qt", "ct", "score"), 1).count() == (2 if len(rows) > 2 else 0)
+
+
+def test_clashing_names(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, None)], "_own int, _rank string")
+    assert E.row_expansion(a, a, {"_own": "_own", "_rank": "_rank"}).first() == (2, 2)
+    assert E.slices(a, ["_own", "_rank"]).count() == 2
+    assert E.stratified(a, "_own", F.col("_rank"), 0.5).columns == ["_own", "_rank"]
