@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import cosine
 from ..operators import align as A
 from ..operators import annotate as O
 from ..operators import cdf as C
@@ -101,3 +102,32 @@ def lsh_tables(domains: DataFrame, threshold: float = 0.5, n: int = TOP, hashes:
     q, c = (sketch.select(F.col("t").alias(f"{s}t"), F.col("c").alias(f"{s}c"), F.col("sig").alias(f"{s}s")) for s in ("q", "c"))
     scored = pairs.join(q, ["qt", "qc"]).join(c, ["ct", "cc"]).select(*M.PAIR, F.round(S.estimated_jaccard(F.col("qs"), F.col("cs")), 6).alias("score"))
     return A.top_n(A.best_c(A.c_unionability(A.greedy(scored))), n)
+
+
+def band_measures(spark: SparkSession, sf_dir: str, hashes: int = S.HASHES, threshold: float = 0.5) -> DataFrame:
+    """The measures of the pairs that bands bring together: of values' sketches, of classes' sketches, or of mean vectors' hyperplanes. Every step is an equi-join, so no pair of columns is met that shares no band; sets are compared by their sketches."""
+    freq = slice_freq(spark, sf_dir)
+    dom = freq.select("t", "c", "v")
+    means = kept(spark, sf_dir, "means", BASES, lambda: mean_vectors(embedded_values(spark, sf_dir, freq)))
+    sketch = {name: stored(S.signatures(x, hashes), "signatures") for name, x in (("set", dom), ("sem", class_domains(spark, sf_dir, dom)))}
+    k, l = S.recalling_bands(threshold, hashes)
+    named = stored(means.withColumn("id", F.xxhash64("t", "c")), "named-means")
+    near = S.cosine_candidates(named, "id", "mean", 8, 8).join(named.select("id", F.col("t").alias("qt"), F.col("c").alias("qc")), "id").join(named.select(F.col("id").alias("other"), F.col("t").alias("ct"), F.col("c").alias("cc")), "other")
+    pairs = [S.candidates(x, k, l) for x in sketch.values()] + [near.filter("qt <> ct").select(*M.PAIR)]
+    pairs = stored(pairs[0].unionAll(pairs[1]).unionAll(pairs[2]).distinct(), "pairs")
+
+    def sides(x: DataFrame, column: str) -> DataFrame:
+        q, c = (x.select(F.col("t").alias(f"{s}t"), F.col("c").alias(f"{s}c"), F.col(column).alias(f"{s}x")) for s in "qc")
+        return pairs.join(q, ["qt", "qc"]).join(c, ["ct", "cc"])
+
+    scored = [sides(x, "sig").select(*M.PAIR, F.lit(name).alias("measure"), F.round(S.estimated_jaccard(F.col("qx"), F.col("cx")), 6).alias("score")) for name, x in sketch.items()]
+    scored.append(sides(means, "mean").select(*M.PAIR, F.lit("nl").alias("measure"), F.least(F.round(cosine(F.col("qx"), F.col("cx")), 6), F.lit(1.0)).alias("score")))
+    return stored(scored[0].unionAll(scored[1]).unionAll(scored[2]).filter("score <> 0"), "band-measures")
+
+
+def band_tables(spark: SparkSession, sf_dir: str, n: int = TOP) -> DataFrame:
+    """The n best tables for each table, for a lake of any size: the search by the ensemble over the pairs that bands bring together."""
+    scores = band_measures(spark, sf_dir)
+    pairs = C.ensemble(C.with_percentile(scores, C.equi_depth(scores, BINS))).filter("pct > 0")
+    best = A.greedy(pairs, order=F.struct(-F.col("minus"), -F.col("plus"), -F.col("raw")), score="pct")
+    return ranked_tables(c_percentiles(stored(A.c_unionability(best, score="pct"), "c-scores")), n)

@@ -288,6 +288,11 @@ def emb_search(s, d):
     return sweep(M.mean_cosine(stored(means, "means")).filter("score > 0"), (1, 2, 3))
 
 
+@register("band_search")
+def band_search(s, d):
+    return P.band_tables(s, d)
+
+
 @register("two_forest_candidates", f"select distinct qt, qc, ct, cc from ({{0}} union all {{1}})".replace("{0}", "select a.t qt, a.c qc, b.t ct, b.c cc from b1 a join b1 b on a.band = b.band and a.h = b.h and a.t <> b.t").replace("{1}", "select a.t, a.c, b.t, b.c from b2 a join b2 b on a.band = b.band and a.h = b.h and a.t <> b.t"), sig1=_signature("classes"), sig2=_signature("known"), b1="select t, c, j band, sig[2 * j + 1:2 * j + 2] h from sig1, unnest(range(16)) u(j)", b2="select t, c, j band, sig[2 * j + 1:2 * j + 2] h from sig2, unnest(range(16)) u(j)", **_ONT)
 def two_forest_candidates(s, d):
     """Pairs that the classes' sketches or those of what has no entity bring together."""

@@ -12,6 +12,7 @@ from quarrylake.operators import domains as D
 from quarrylake.operators import expand as E
 from quarrylake.operators import measures as M
 from quarrylake.operators import sketches as S
+from quarrylake.plans import lake as L
 from quarrylake.plans import search as P
 
 
@@ -120,3 +121,13 @@ def test_clashing_names(spark):
     assert E.row_expansion(a, a, {"_own": "_own", "_rank": "_rank"}).first() == (2, 2)
     assert E.slices(a, ["_own", "_rank"]).count() == 2
     assert E.stratified(a, "_own", F.col("_rank"), 0.5).columns == ["_own", "_rank"]
+
+
+def test_band_search(spark):
+    """It finds all columns that are much alike, and ranks slices of one base table first."""
+    d = "/root/testdata/sf0.001"
+    met = {(r.qt, r.qc, r.ct, r.cc) for r in P.band_measures(spark, d).collect()}
+    exact = {(r.qt, r.qc, r.ct, r.cc) for r in P.measures(spark, d).filter("(measure in ('set', 'sem') and score >= 0.5) or (measure = 'nl' and score >= 0.9)").collect()}
+    assert exact and len(exact & met) >= 0.9 * len(exact)
+    first = {(r.qt, r.ct) for r in P.band_tables(spark, d).filter("rank = 1").collect()}
+    assert len(first) >= 3 and first <= {(r.qt, r.ct) for r in L.truth(P.slice_freq(spark, d)).collect()}
