@@ -707,6 +707,43 @@ def test_toxicity_query_against_plain(spark, monkeypatch):
     assert {None, 4, 500} <= {x[0] for x in got} and sum(x[0] == 4 for x in got) == 3 and not {501, 502} & {x[0] for x in got}
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """A word that only labelled documents beyond the 1000 least by hash have."""
+    r = random.Random(17)
+    ids = np.arange(2400)
+    toxic = ids[ids % 2 == 0]
+    late = set(toxic[np.argsort(K.mix(toxic.astype(np.uint64)))[1000:]].tolist())
+    word = lambda i: "" if i % 2 else "filthy" if i in late else "vile"
+    docs = [(int(i), f"{prose(r, 6, 200)} {word(i)} {prose(r, 6, 200)}") for i in ids]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], "doc_id bigint, toxic int")
+    new = [(5000 + i, f"{prose(r, 6, 200)} {('filthy', 'vile', '')[i % 3]} {prose(r, 6, 200)}") for i in range(90)]
+    got = {x.doc_id - 5000 for x in toxicity.toxic_documents(frame(spark, docs + new), labels).filter("doc_id >= 5000").collect()}
+    assert [np.mean([i in got for i in range(k, 90, 3)]) for k in (0, 1)] == [1, 1] and np.mean([i in got for i in range(2, 90, 3)]) <= 0.1
+
+
+def test_toxicity_shards(spark):
+    """Many shards: the same weights for any order of the input, and as good as one."""
+    docs = toxic_docs(random.Random(19), 500)
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs[:400]] + [(9999, 1)], "doc_id bigint, label int")
+    own = lambda rows, n: spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)
+    a, b = toxicity.train(own(docs, 3), known, (20, 1 << 30)), toxicity.train(own(docs[::-1], 5), known, (20, 1 << 30))
+    assert a.threshold == b.threshold and (a.flat() == b.flat()).all()
+    best = toxicity.doc_scores(a, K.words(pa.array([t for _, t in docs[400:]])))[0] >= a.threshold
+    assert best[::4].mean() >= 0.9 and np.delete(best, np.s_[::4]).mean() <= 0.05
+
+
+def test_toxicity_long_documents_in_blocks(monkeypatch):
+    w = K.words(pa.array([t for _, t in toxic_docs(random.Random(23), 8)]))
+    vocab, flats = toxicity.Vocabulary.of(w), []
+    for batch in (2048, 5):
+        monkeypatch.setattr(toxicity, "BATCH", batch)
+        net, moved = toxicity.Net.fresh(), np.zeros(toxicity.WORDS + toxicity.TRIGRAMS, "f4")
+        rare = np.zeros(toxicity.WORDS, bool), np.zeros(toxicity.TRIGRAMS, bool)
+        toxicity.learn(net, w, vocab, np.arange(8), np.arange(8) % 4 == 0, np.full(8, 0.125), 0.3, rare, moved, np.random.default_rng(1))
+        flats.append(net.flat())
+    assert np.abs(flats[0] - toxicity.Net.fresh().flat()).max() > 0.01 and np.abs(flats[0] - flats[1]).max() < 1e-3
+
+
 def test_quality_query_against_plain(spark, monkeypatch):
     r = random.Random(14)
     junk = lambda t: " ".join(x.upper() + "!!" for x in t.split())
