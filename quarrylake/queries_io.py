@@ -329,7 +329,10 @@ def saved_cardinalities(s, d):
 
 @register("latest_judgements", "select l_orderkey, max_by(l_returnflag, l_linenumber) flag from lineitem group by l_orderkey")
 def latest_judgements(s, d):
-    return K.latest(L.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey"], "l_linenumber").select("l_orderkey", F.col("l_returnflag").alias("flag"))
+    """A line number may come twice in an order: the first in the files counts. Rows without a flag or a number don't, but their order stays."""
+    at = F.when(F.col("l_returnflag").isNotNull(), F.col("l_linenumber"))
+    rows = L.table(s, d, "lineitem").select("l_orderkey", at.alias("at"), "l_returnflag", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return K.latest(rows, ["l_orderkey"], "at", ["file", "row"]).select("l_orderkey", F.when(F.col("at").isNotNull(), F.col("l_returnflag")).alias("flag"))
 
 
 @register("json_dump", "select entity, category from types")

@@ -71,8 +71,8 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def latest(judgements: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key: what an upsert would leave."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+def latest(judgements: DataFrame, keys: list[str], order: str, ties: list[str] = []) -> DataFrame:
+    """The last row of each key: what an upsert would leave. Of equally late ones the first by ties."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), *ties)
     (r,) = fresh(judgements, "_rank")
     return judgements.withColumn(r, F.row_number().over(w)).filter(F.col(r) == 1).drop(r)

@@ -94,3 +94,17 @@ def test_sqlite_and_vectors(spark, tmp_path):
 def test_xml_cells(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<tableAnnotations><columnAnnotations><colAnnos col="1"><anno name="city" value="1"/></colAnnos></columnAnnotations><cellAnnotatoons><row><entity>x</entity><entity>Rome</entity></row><row><entity>y</entity><entity>Oslo</entity></row></cellAnnotatoons></tableAnnotations>')
     assert sorted((r.col, r.name, r.row, r.entity) for r in R.xml_column_entities(spark, f"{tmp_path}/a.xml").collect()) == [(1, "city", 0, "Rome"), (1, "city", 1, "Oslo")]
+
+
+def test_latest_judgements_ties(spark, tmp_path):
+    """Of equal line numbers the first in the files counts, whatever order tasks are read in; rows without a flag don't count."""
+    from quarrylake import queries_io as Q
+
+    kind = "l_orderkey long, l_linenumber int, l_returnflag string"
+    rows = [[(k, 2, flag) for k in range(500)] for flag in "CBA"] + [[(k, 3, None) for k in range(500)] + [(-1, 1, None)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / str(i)).glob("*.parquet")).rename(tmp_path / f"lineitem.parquet/part-{i}.parquet")
+    got = {r.l_orderkey: r.flag for r in Q.latest_judgements(spark, str(tmp_path)).collect()}
+    assert got == {**{k: "C" for k in range(500)}, -1: None}
