@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.store import stored
 
 PRIME = 4294967291
 HASHES = 64
@@ -108,26 +109,57 @@ def simhash(vectors: DataFrame, id: str, vector: str, bits: int = 16, dims: int
 
 
 def simhash_bands(vectors: DataFrame, id: str, vector: str, k: int, l: int, dims: int = 64) -> DataFrame:
-    """l bands of k bits of a vector's SimHash: id, band, head (its bits)."""
-    bits = simhash(vectors, id, vector, k * l, dims)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(l - 1)), lambda i: F.substring("bucket", i * k + 1, k))
-    return bits.select(id, F.posexplode(cut).alias("band", "head"))
+    """l bands of k bits of a vector's SimHash, as numbers: id, heads (array), many (whether the id has other bits elsewhere); a row for each id and its different bits."""
+    if not 0 < k < 63:
+        raise ValueError("a band has 1 to 62 bits")
+    own = simhash(vectors, id, vector, k * l, dims).groupBy(id).agg(F.collect_set("bucket").alias("_b"))
+    heads = F.array(*(F.conv(F.substring("_c", i * k + 1, k), 2, 10).cast("bigint") for i in range(l)))
+    return own.select(id, (F.size("_b") > 1).alias("many"), F.explode("_b").alias("_c")).select(id, heads.alias("heads"), "many")
+
+
+def band_pairs(codes: DataFrame, id: str, k: int, l: int, least: int) -> DataFrame:
+    """Pairs that agree in the first least bits of a band: id, other, x (the least difference of all bands, as a number: depth d has x < 2 ** (k - d)).
+
+    A pair is given by the first band that it agrees in, so what is shuffled are the bands
+    and not the pairs, of which there may be n^2. Only ids with several vectors can
+    give a pair twice.
+    """
+    codes = stored(codes, "bands")
+    low = k - least
+    spark = codes.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def side(x: DataFrame, name: str, heads: str) -> DataFrame:
+        return x.select(F.col(id).alias(name), F.col("heads").alias(heads), F.posexplode("heads").alias("band", "_s")).withColumn("_s", F.shiftright("_s", low))
+
+    differ = [F.col("_p")[i].bitwiseXOR(F.col("_q")[i]) for i in range(l)]
+    first = F.lit(True)
+    for j in range(1, l):
+        first = F.when(F.col("band") == j, F.least(*differ[:j], F.lit((1 << k) - 1)) >= F.lit(1 << low)).otherwise(first)
+
+    def met(a: DataFrame, b: DataFrame, spread: int = 0) -> DataFrame:
+        q = side(a, id, "_p")
+        # bands are few bytes and their pairs many: without a number the join would be one task
+        both = (q.repartition(spread, "band", "_s") if spread else q).join(side(b, "other", "_q"), ["band", "_s"])
+        return both.filter((F.col(id) != F.col("other")) & first).select(id, "other", F.least(*differ, F.lit((1 << k) - 1)).alias("x"))
+
+    one, several = codes.filter(~F.col("many")), codes.filter("many")
+    again = met(several, codes).unionAll(met(one, several)).groupBy(id, "other").agg(F.min("x").alias("x"))
+    return met(one, one, tasks).unionAll(again)
 
 
 def cosine_candidates(vectors: DataFrame, id: str, vector: str, k: int = 20, l: int = 5, dims: int = 64) -> DataFrame:
     """Pairs of vectors that agree in a whole band: an equi-join."""
-    b = simhash_bands(vectors, id, vector, k, l, dims)
-    return b.join(b.withColumnRenamed(id, "other"), ["band", "head"]).filter(F.col(id) != F.col("other")).select(id, "other").distinct()
+    return band_pairs(simhash_bands(vectors, id, vector, k, l, dims), id, k, l, k).select(id, "other")
 
 
 def cosine_forest(vectors: DataFrame, id: str, vector: str, k: int = 16, l: int = 8, least: int = 4, dims: int = 64) -> DataFrame:
     """The longest prefix of a band in which two vectors agree, of those that agree in least bits: id, other, depth. The join is on these bits; pairs of lesser depth are left to the exact search."""
-    b = simhash_bands(vectors, id, vector, k, l, dims).withColumn("start", F.substring("head", 1, least))
-    c = b.select(F.col(id).alias("other"), "band", "start", F.col("head").alias("_h"))
+    pairs = band_pairs(simhash_bands(vectors, id, vector, k, l, dims), id, k, l, least)
     depth = F.lit(least)
     for n in range(least + 1, k + 1):
-        depth = F.when(F.substring("head", 1, n) == F.substring("_h", 1, n), n).otherwise(depth)
-    return b.join(c, ["band", "start"]).filter(F.col(id) != F.col("other")).groupBy(id, "other").agg(F.max(depth).cast("bigint").alias("depth"))
+        depth = F.when(F.col("x") < F.lit(1 << (k - n)), n).otherwise(depth)
+    return pairs.select(id, "other", depth.cast("bigint").alias("depth"))
 
 
 def topk_cosine(vectors: DataFrame, id: str, vector: str, k: int = 5, dims: int = 64, block: int = 2048) -> DataFrame:

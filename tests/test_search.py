@@ -131,3 +131,28 @@ def test_band_search(spark):
     assert exact and len(exact & met) >= 0.9 * len(exact)
     first = {(r.qt, r.ct) for r in P.band_tables(spark, d).filter("rank = 1").collect()}
     assert len(first) >= 3 and first <= {(r.qt, r.ct) for r in L.truth(P.slice_freq(spark, d)).collect()}
+
+
+def shuffled(spark, df):
+    """Rows of df, and how many bytes its stages shuffle."""
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        gw = spark.sparkContext._gateway
+        none = gw.jvm.java.util.ArrayList()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gw.new_array(gw.jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    return df().collect(), total() - before
+
+
+def test_band_pairs_stay_where_they_are(spark):
+    """What is shuffled are bands, not their pairs; ids that come twice give no pair twice, and the deepest band counts."""
+    x = np.repeat(np.random.default_rng(4).standard_normal((1, 64)), 400, axis=0)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist()), (7, (-x[7]).tolist()), (8, (x[8] + 0.1).tolist()), (900, (-x[0]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4).cache()
+    want = {(a, b) for a in range(400) for b in range(400) if a != b} | {(7, 900), (900, 7)}
+    got, moved = shuffled(spark, lambda: S.cosine_candidates(df, "vec_id", "embedding", 8, 5))
+    assert sorted((r.vec_id, r.other) for r in got) == sorted(want) and moved < 400_000
+    got, moved = shuffled(spark, lambda: S.cosine_forest(df, "vec_id", "embedding", 12, 4, 8))
+    assert {(r.vec_id, r.other) for r in got} == want and len(got) == len(want) and {r.depth for r in got} == {12} and moved < 400_000
