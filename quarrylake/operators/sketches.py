@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.store import stored
+from ..plans.store import shared_dir, stored
 
 PRIME = 4294967291
 HASHES = 64
@@ -163,32 +163,80 @@ def cosine_forest(vectors: DataFrame, id: str, vector: str, k: int = 16, l: int
 
 
 def topk_cosine(vectors: DataFrame, id: str, vector: str, k: int = 5, dims: int = 64, block: int = 2048) -> DataFrame:
-    """The k nearest others of every vector, exactly: vectors travel in packed blocks, and each pair of blocks is one matrix product."""
+    """The k nearest others of every vector, exactly.
+
+    Unit vectors are packed in blocks and stored in the shared folder once. Each task
+    holds up to 16 blocks of queries and reads all blocks past them, one at a time; a
+    pair of blocks is one matrix product, and a query keeps its k best. So the work is
+    n^2, but what is shuffled is the vectors and k rows for each.
+    """
     spark = vectors.sparkSession
     slim = vectors.filter(F.size(vector) == dims).select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v"))
     n = max(1, -(-slim.count() // block))
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).astype("<f8")
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "ids": [t.column("id").to_numpy().astype("<i8").tobytes()], "m": [x.tobytes()]})
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).astype("<f8").reshape(-1, dims)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        good = ~np.isnan(x).any(axis=1)  # the others have no cosine with any
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "ids": [t.column("id").to_numpy()[good].astype("<i8").tobytes()], "m": [x[good].tobytes()]})
 
     packed = slim.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("b").applyInArrow(pack, "b int, ids binary, m binary")
+    path = shared_dir(spark, "vectors")
+    packed.write.option("parquet.block.size", 1 << 24).parquet(path)
+
+    def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["m"], "<f8").reshape(-1, dims)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(path)
+        for f in sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.path.endswith(".parquet")):
+            with fs.open_input_file(f) as src:
+                for b in pq.ParquetFile(src).iter_batches(1, columns=["ids", "m"]):
+                    yield from map(unpacked, b.to_pylist())
+
+    def better(best: tuple, qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray) -> tuple:
+        """best: row, id and score of what is kept, and the k-th score of each row."""
+        row, other, score, least = best
+        s = q @ c.T
+        s[qi[:, None] == ci] = -np.inf
+        if len(ci) >= k:
+            least = np.maximum(least, np.round(np.partition(s, -k, axis=1)[:, -k], 6)) if not np.isfinite(least).all() else least
+        r, j = np.nonzero(s >= (least - 1e-6)[:, None])
+        v = np.round(s[r, j], 6)
+        row, other, score = np.r_[row, r], np.r_[other, ci[j]], np.r_[score, v]
+        ok = np.isfinite(score)
+        row, other, score = row[ok], other[ok], score[ok]
+        by = np.lexsort((other, -score, row))
+        row, other, score = row[by], other[by], score[by]
+        at = np.arange(len(row)) - np.searchsorted(row, row)
+        least = least.copy()
+        least[row[at == k - 1]] = score[at == k - 1]
+        return row[at < k], other[at < k], score[at < k], least
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(held: list) -> Iterator[pa.RecordBatch]:
+            best = [(np.zeros(0, int), np.zeros(0, "<i8"), np.zeros(0), np.full(len(qi), -np.inf)) for qi, _ in held]
+            for ci, c in blocks():
+                best = [better(b, qi, q, ci, c) for b, (qi, q) in zip(best, held)]
+            for (qi, _), (row, other, score, _) in zip(held, best):
+                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(other), pa.array(score)], names=["id", "other", "score"])
+
+        held = []
         for b in batches:
             for r in b.to_pylist():
-                qi, ci = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["cids"], "<i8")
-                q, c = (np.frombuffer(r[m], "<f8").reshape(-1, dims) for m in ("m", "cm"))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 6)
-                s[(qi[:, None] == ci) | np.isnan(s)] = -np.inf
-                by = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
-                top = np.take_along_axis(s, by, axis=1)
-                ok = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, ok.sum(axis=1))), pa.array(ci[by][ok]), pa.array(top[ok])], names=["id", "other", "score"])
-
-    pairs = packed.crossJoin(packed.select(F.col("ids").alias("cids"), F.col("m").alias("cm")))
-    best = pairs.select("ids", "m", "cids", "cm").repartition(max(1, min(n * n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(nearest, "id bigint, other bigint, score double")
+                held.append(unpacked(r))
+                if len(held) == 16:
+                    yield from search(held)
+                    held = []
+        if held:
+            yield from search(held)
+
+    tasks = min(n, max(2 * spark.sparkContext.defaultParallelism, -(-n // 16)))
+    best = spark.read.parquet(path).select("ids", "m").repartition(tasks).mapInArrow(nearest, "id bigint, other bigint, score double")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))

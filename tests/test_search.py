@@ -156,3 +156,16 @@ def test_band_pairs_stay_where_they_are(spark):
     assert sorted((r.vec_id, r.other) for r in got) == sorted(want) and moved < 400_000
     got, moved = shuffled(spark, lambda: S.cosine_forest(df, "vec_id", "embedding", 12, 4, 8))
     assert {(r.vec_id, r.other) for r in got} == want and len(got) == len(want) and {r.depth for r in got} == {12} and moved < 400_000
+
+
+def test_topk_blocks_stay_where_they_are(spark):
+    """The pairs of blocks are not shuffled; equal scores go by id across blocks, and vectors without a length have no neighbour."""
+    x = np.random.default_rng(5).standard_normal((600, 64))
+    x[300:] = x[:300]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(1000, [0.0] * 64)], "vec_id bigint, embedding array<double>").cache()
+    got, moved = shuffled(spark, lambda: S.topk_cosine(df, "vec_id", "embedding", 3, block=16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    assert {(r.vec_id, r["rank"]): r.other for r in got} == {(i, k + 1): int(j) for i in range(600) for k, j in enumerate(np.lexsort((np.arange(600), -s[i]))[:3])}
+    assert moved < 3_000_000
