@@ -45,11 +45,25 @@ def embedded_values(spark: SparkSession, sf_dir: str, freq: DataFrame) -> DataFr
     return freq.join(parts, "v").select("t", "c", "v", "freq", F.col("i").cast("bigint").alias("i"), "x")
 
 
-def mean_vectors(embedded: DataFrame) -> DataFrame:
-    """t, c, mean (array): frequencies weigh the values."""
-    n = F.sum("freq").cast("double")
-    m = embedded.groupBy("t", "c", "i").agg((F.sum(F.col("freq") * F.col("x")) / n).alias("mean"))
-    return m.groupBy("t", "c").agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("_r")).select("t", "c", F.col("_r.mean").alias("mean"))
+def mean_vectors(spark: SparkSession, sf_dir: str, freq: DataFrame) -> DataFrame:
+    """t, c, mean (array) of the values' vectors; frequencies weigh the values.
+
+    A column's mean is a weighted sum of its words' vectors, so no value's vector is
+    spelt out: the words of a column are counted, and a row for each word meets its
+    vector. Sums combine before the shuffle, a row for each column and task.
+    """
+    from ..functions import text as X
+
+    vectors = L.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vec"))
+    count = vectors.agg(F.count("*").alias("_n"), F.max(F.size("vec")).alias("_dims"))
+    dims = count.first()["_dims"] or 0
+    words = freq.select("t", "c", "v", "freq", F.explode(X.tokens(F.col("v"))).alias("word")).crossJoin(F.broadcast(count.select("_n"))).withColumn("_id", X.hash32(F.col("word")) % F.col("_n"))
+    hits = words.join(vectors.select("_id"), "_id", "left_semi")
+    total = hits.groupBy("t", "c", "v").agg(F.max("freq").alias("freq")).groupBy("t", "c").agg(F.sum("freq").cast("double").alias("_total"))
+    weights = hits.groupBy("t", "c", "_id").agg(F.sum("freq").cast("double").alias("_w"))
+    sums = [F.sum(F.col("_w") * F.get("vec", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dims)]
+    own = weights.join(vectors, "_id").groupBy("t", "c").agg(F.max(F.size("vec")).alias("_m"), *sums).join(total, ["t", "c"])
+    return own.filter("_m > 0").select("t", "c", F.slice(F.array(*(F.col(f"_s{i}") / F.col("_total") for i in range(dims))).cast("array<double>"), F.lit(1), F.col("_m")).alias("mean"))
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +73,7 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         freq = slice_freq(spark, sf_dir)
         dom = freq.select("t", "c", "v")
         sems = M.jaccard(stored(class_domains(spark, sf_dir, dom), "classes"))
-        nls = M.mean_cosine(kept(spark, sf_dir, "means", BASES, lambda: mean_vectors(embedded_values(spark, sf_dir, freq))))
+        nls = M.mean_cosine(kept(spark, sf_dir, "means", BASES, lambda: mean_vectors(spark, sf_dir, freq)))
         return M.all_measures(M.jaccard(dom), sems, nls)
 
     return kept(spark, sf_dir, "measures", BASES, build)
@@ -108,7 +122,7 @@ def band_measures(spark: SparkSession, sf_dir: str, hashes: int = S.HASHES, thre
     """The measures of the pairs that bands bring together: of values' sketches, of classes' sketches, or of mean vectors' hyperplanes. Every step is an equi-join, so no pair of columns is met that shares no band; sets are compared by their sketches."""
     freq = slice_freq(spark, sf_dir)
     dom = freq.select("t", "c", "v")
-    means = kept(spark, sf_dir, "means", BASES, lambda: mean_vectors(embedded_values(spark, sf_dir, freq)))
+    means = kept(spark, sf_dir, "means", BASES, lambda: mean_vectors(spark, sf_dir, freq))
     sketch = {name: stored(S.signatures(x, hashes), "signatures") for name, x in (("set", dom), ("sem", class_domains(spark, sf_dir, dom)))}
     k, l = S.recalling_bands(threshold, hashes)
     named = stored(means.withColumn("id", F.xxhash64("t", "c")), "named-means")

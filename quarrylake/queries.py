@@ -274,13 +274,13 @@ def value_embedding(s, d):
 
 @register("domain_embedding", "select t, c, i, round(mean, 5) mean from vmean")
 def domain_embedding(s, d):
-    m = P.mean_vectors(P.embedded_values(s, d, P.slice_freq(s, d)))
+    m = P.mean_vectors(s, d, P.slice_freq(s, d))
     return m.select("t", "c", F.posexplode("mean").alias("i", "mean")).select("t", "c", F.col("i").cast("bigint").alias("i"), F.round("mean", 5).alias("mean"))
 
 
 @register("nl_unionability", "select * from nl")
 def nl_unionability(s, d):
-    return M.mean_cosine(P.mean_vectors(P.embedded_values(s, d, P.slice_freq(s, d))))
+    return M.mean_cosine(P.mean_vectors(s, d, P.slice_freq(s, d)))
 
 
 @register("pca_components")

@@ -270,7 +270,7 @@ def saved_search_results(s, d):
     """The table of search results has its 26 columns; those that this search measures are compared."""
     dom = slice_domains(s, d)
     sem = M.jaccard(stored(domain_classes(s, d).select("t", "c", F.col("class").alias("v")), "classes")).select(*M.PAIR, F.col("score").alias("ontology_jaccard"))
-    nl = M.mean_cosine(stored(P.mean_vectors(P.embedded_values(s, d, P.slice_freq(s, d))), "means")).select(*M.PAIR, F.col("score").alias("cosine"))
+    nl = M.mean_cosine(stored(P.mean_vectors(s, d, P.slice_freq(s, d)), "means")).select(*M.PAIR, F.col("score").alias("cosine"))
     rows = M.jaccard(dom).withColumnsRenamed({"score": "jaccard", "nq": "query_cardinality", "nc": "candidate_cardinality"}).join(sem, list(M.PAIR), "left").fillna(0.0, ["ontology_jaccard"]).join(nl, list(M.PAIR), "left")
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("qt", "ct").orderBy(F.desc("jaccard"), "qc", "cc")).cast("bigint"))
     got = saved(s, rows, "search_results")

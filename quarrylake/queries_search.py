@@ -284,7 +284,7 @@ def ont_search(s, d):
 
 @register("emb_search", _NL, nlp="select * from nl where score > 0", **_NLC)
 def emb_search(s, d):
-    means = P.mean_vectors(P.embedded_values(s, d, P.slice_freq(s, d)))
+    means = P.mean_vectors(s, d, P.slice_freq(s, d))
     return sweep(M.mean_cosine(stored(means, "means")).filter("score > 0"), (1, 2, 3))
 
 
@@ -336,7 +336,7 @@ def column_search(s, d):
     """The nearest columns of each column by their mean vectors, with Jaccard and containment of the values."""
     freq = P.slice_freq(s, d)
     dom = freq.select("t", "c", "v")
-    near = M.mean_cosine(stored(P.mean_vectors(P.embedded_values(s, d, freq)), "means")).withColumnRenamed("score", "cosine")
+    near = M.mean_cosine(stored(P.mean_vectors(s, d, freq), "means")).withColumnRenamed("score", "cosine")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("qt", "qc").orderBy(F.desc("cosine"), "ct", "cc")).cast("bigint")).filter("rank <= 5")
     out = near
     for name, x in (("jaccard", M.jaccard(dom)), ("containment", M.containment(dom))):

@@ -169,3 +169,22 @@ def test_topk_blocks_stay_where_they_are(spark):
     np.fill_diagonal(s, -2)
     assert {(r.vec_id, r["rank"]): r.other for r in got} == {(i, k + 1): int(j) for i in range(600) for k, j in enumerate(np.lexsort((np.arange(600), -s[i]))[:3])}
     assert moved < 3_000_000
+
+
+def test_mean_vectors(spark, tmp_path):
+    """Frequencies weigh the values; a word that comes twice in a value counts twice; no value's vector is spelt out."""
+    import hashlib
+
+    x = np.random.default_rng(6).standard_normal((50, 64))
+    spark.createDataFrame([(k + (k > 40), v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vec = {k + (k > 40): v.astype("f4").astype(float) for k, v in enumerate(x)}
+    rows = [("t", c, f"word{k} word{k} {c}{k}", k % 5 + 1) for k in range(3000) for c in "ab"] + [("t", "a", "x " * 9, 7)]
+    total, sums = {}, {}
+    for t, c, v, n in rows[:-1]:
+        hits = [vec[i] for i in (int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 50 for w in v.split()) if i in vec]
+        if hits:
+            total[c], sums[c] = total.get(c, 0) + n, sums.get(c, 0) + n * sum(hits)
+    freq = spark.createDataFrame(rows, "t string, c string, v string, freq bigint").cache()
+    got, moved = shuffled(spark, lambda: P.mean_vectors(spark, str(tmp_path), freq))
+    assert sorted(r.c for r in got) == ["a", "b"] and moved < 600_000
+    assert all(np.allclose(r["mean"], sums[r.c] / total[r.c], atol=1e-9) for r in got)
